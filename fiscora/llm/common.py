@@ -56,3 +56,8 @@ def drop_path(spark: SparkSession, path: str) -> None:
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def if_small(df: DataFrame, rows: int = 200_000) -> DataFrame:
+    """A broadcast hint behind a count of df: beyond `rows` rows the join shuffles instead."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
