@@ -19,6 +19,12 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from fiscora.llm.op6_secrets import op6_secrets as op
+
+    return op(read(spark, sf_dir, "documents"))
+
+
 _WORDS = rf"list_filter(string_split_regex(translate(coalesce(text, ''), '{UPPER}', '{UPPER.lower()}'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')"
 
 OP2_SQL = rf"""
@@ -39,7 +45,7 @@ FROM d LEFT JOIN pos USING (doc_id) LEFT JOIN it USING (doc_id)
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_token_planes, op2_decontaminate)}
+    return {f.__name__: f for f in (op1_token_planes, op2_decontaminate, op6_secrets)}
 
 
 def oracle_sql() -> dict[str, str]:
