@@ -25,6 +25,12 @@ def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op(read(spark, sf_dir, "documents"))
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from fiscora.llm.op8_toxicity import op8_toxicity as op
+
+    return op(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 _WORDS = rf"list_filter(string_split_regex(translate(coalesce(text, ''), '{UPPER}', '{UPPER.lower()}'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')"
 
 OP2_SQL = rf"""
@@ -45,7 +51,7 @@ FROM d LEFT JOIN pos USING (doc_id) LEFT JOIN it USING (doc_id)
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_token_planes, op2_decontaminate, op6_secrets)}
+    return {f.__name__: f for f in (op1_token_planes, op2_decontaminate, op6_secrets, op8_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
