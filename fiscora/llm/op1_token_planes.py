@@ -18,6 +18,7 @@ from __future__ import annotations
 import os
 import zlib
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -97,6 +98,12 @@ class PieceEncoder:
         return b"".join([self.whole(head), *map(self.known.__getitem__, pieces), self.end])
 
 
+@cache
+def piece_encoder(path: str, end_id: int) -> PieceEncoder:
+    """One for all tasks of a worker: what it has learnt stays."""
+    return PieceEncoder(path, end_id)
+
+
 def to_planes(ids: np.ndarray, width: int, block_ids: int, press: zstandard.ZstdCompressor) -> list[bytes]:
     """Compressed planes, block by block."""
     out = []
@@ -126,7 +133,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int, width:
         from pyspark import TaskContext
 
         shard, chunk, first = TaskContext.get().partitionId(), 0, 0
-        encoder, press = PieceEncoder(tokenizer, end_id), zstandard.ZstdCompressor(level=1)
+        encoder, press = piece_encoder(tokenizer, end_id), zstandard.ZstdCompressor(level=1)
         names, parts, held = [], [], 0
 
         def flush() -> pa.RecordBatch:

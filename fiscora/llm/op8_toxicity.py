@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Terms in the model, labelled rows that fit it, and readings kept for each pair of last letters.
-TERMS, FIT_ROWS, READINGS = 1000, 60_000, 3
+TERMS, FIT_ROWS, READINGS = 1000, 60_000, 6
 THRESHOLD = 0.7
 LETTERS = "abcdefghijklmnopqrstuvwxyz"
 #: What a character may stand for, besides itself.
@@ -37,9 +37,14 @@ LOOKS = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g",
 #: Costs in nats: reading a look-alike, dropping a separator, reading a letter again as drawn out.
 SWAP, DROP, AGAIN = 1.0, 1.0, 0.5
 
+#: Accented and foreign look-alikes of one letter, as a translation.
+FOLD = {ord(c): x for c, x in LOOKS.items() if c.isalpha()}
+
 SPELT = re.compile(r"(?<!\S)[^\s](?:[ \t]{1,3}[^\s]){2,}(?!\S)")
 DRAWN = re.compile(r"([^\W\d_])\1\1")
 ENDS = re.compile(r"^[\W_]+|[\W_]+$")
+#: A token may begin or end with look-alikes, but a longer row of signs is ornament.
+SOFT_ENDS = re.compile(r"^[^\w@$!|+(<€£¡]+|[^\w@$|+€£]+$|^[\W_]{3,}|[\W_]{3,}$|!+$")
 
 
 def gram_codes(texts: list[str | None]) -> np.ndarray:
@@ -78,7 +83,7 @@ class Model:
                     if k == b:
                         grown.setdefault((a, b), []).extend((cost + AGAIN + swap, word) for cost, word in held)
                 if c not in LETTERS:
-                    drop = DROP if not c.isalnum() else 4 * DROP
+                    drop = DROP if not c.isalnum() else 8 * DROP
                     grown.setdefault((a, b), []).extend((cost + drop, word) for cost, word in held)
             best = {k: sorted(set(v))[:READINGS] for k, v in grown.items()}
         ended = sorted((cost + self.cost[a][b][0], word) for (a, b), held in best.items() for cost, word in held if word)
@@ -97,13 +102,15 @@ class Restorer:
         return tuple([next((w for w in words if w in self.known), words[0])]) if words else ()
 
     def terms_of(self, token: str) -> tuple[str, ...]:
-        core = ENDS.sub("", token)
+        core, soft = ENDS.sub("", token), SOFT_ENDS.sub("", token)
         found: tuple[str, ...] = (core,) if core else ()
-        if core and (core.isalpha() and not DRAWN.search(core)):
-            if token[0] in LOOKS and token[1:2].isalnum() or token[-1] in "$@|" and token[-2:-1].isalnum():
-                found += self.reading(token)
-        elif core and any(c.isalpha() for c in core):
-            found += self.reading(token if token[0] in LOOKS and token[1:2].isalnum() else core)
+        if not core.isascii() and (folded := core.translate(FOLD)) in self.known:
+            found += (folded,)
+        if core and not core.isalpha() or DRAWN.search(core):
+            if any(c.isalpha() for c in core):
+                found += self.reading(core)
+        if soft != core and any(c.isalpha() for c in soft):
+            found += self.reading(soft)
         if len(self.seen) >= self.cache:
             self.seen.clear()
         self.seen[token] = found
