@@ -31,6 +31,12 @@ def op4_jpeg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op(read(spark, sf_dir, "documents"))
 
 
+def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from fiscora.llm.op5_near_dedup import op5_near_dedup as op
+
+    return op(read(spark, sf_dir, "documents"))
+
+
 def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     from fiscora.llm.op6_secrets import op6_secrets as op
 
@@ -63,7 +69,7 @@ FROM d LEFT JOIN pos USING (doc_id) LEFT JOIN it USING (doc_id)
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_token_planes, op2_decontaminate, op3_main_text, op4_jpeg_media, op6_secrets, op8_toxicity)}
+    return {f.__name__: f for f in (op1_token_planes, op2_decontaminate, op3_main_text, op4_jpeg_media, op5_near_dedup, op6_secrets, op8_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
