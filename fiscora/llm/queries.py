@@ -49,6 +49,12 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op10_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from fiscora.llm.op10_mixture import op10_mixture as op
+
+    return op(read(spark, sf_dir, "documents"))
+
+
 _WORDS = rf"list_filter(string_split_regex(translate(coalesce(text, ''), '{UPPER}', '{UPPER.lower()}'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')"
 
 OP2_SQL = rf"""
@@ -69,7 +75,7 @@ FROM d LEFT JOIN pos USING (doc_id) LEFT JOIN it USING (doc_id)
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_token_planes, op2_decontaminate, op3_main_text, op4_jpeg_media, op5_near_dedup, op6_secrets, op8_toxicity)}
+    return {f.__name__: f for f in (op1_token_planes, op2_decontaminate, op3_main_text, op4_jpeg_media, op5_near_dedup, op6_secrets, op8_toxicity, op10_mixture)}
 
 
 def oracle_sql() -> dict[str, str]:
