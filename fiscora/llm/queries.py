@@ -61,6 +61,12 @@ def op9_line_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op(read(spark, sf_dir, "documents"))
 
 
+def op7_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from fiscora.llm.op7_surrogates import op7_surrogates as op
+
+    return op(read(spark, sf_dir, "documents"))
+
+
 _WORDS = rf"list_filter(string_split_regex(translate(coalesce(text, ''), '{UPPER}', '{UPPER.lower()}'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')"
 
 OP2_SQL = rf"""
@@ -81,7 +87,7 @@ FROM d LEFT JOIN pos USING (doc_id) LEFT JOIN it USING (doc_id)
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_token_planes, op2_decontaminate, op3_main_text, op4_jpeg_media, op5_near_dedup, op6_secrets, op8_toxicity, op9_line_runs, op10_mixture)}
+    return {f.__name__: f for f in (op1_token_planes, op2_decontaminate, op3_main_text, op4_jpeg_media, op5_near_dedup, op6_secrets, op7_surrogates, op8_toxicity, op9_line_runs, op10_mixture)}
 
 
 def oracle_sql() -> dict[str, str]:
