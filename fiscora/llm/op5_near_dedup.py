@@ -1,10 +1,10 @@
 """MinHash near-duplicate groups with odd sketches.
 
-1. Each text becomes its set of hashed word shingles; the set gets SAMPLES MinHash samples, BANDS
-   band keys of ROWS samples each, and an odd sketch: a bitmap in which each sample flips one bit,
-   so that the XOR of two sketches counts the samples that differ. Equal sets form one class.
-2. Classes that share a band are joined into candidate groups: no pair of a group is listed. With
-   these bands a pair at similarity 0.85 is missed once in a million.
+1. Each text becomes its set of hashed word shingles; the set gets SAMPLES MinHash samples, keys of
+   bands of these, and an odd sketch: a bitmap in which each sample flips one bit, so that the XOR
+   of two sketches counts the samples that differ. Equal sets form one class.
+2. Classes that share a band are joined into candidate groups: no pair of a group is listed. Bands
+   are as long as lets a pair at the threshold be missed at most once in 1 / MISSED times.
 3. Inside a group, pairs are compared by sketch; those that the sketch does not rule out (by 5
    standard deviations) and that are not yet connected are confirmed on the full sets. A group of
    more than BLOCK classes is dealt into blocks of that size, so no task holds more than two
@@ -20,6 +20,7 @@ are one class; an empty table gives an empty result; other columns are not read.
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Iterator
 from functools import cache
@@ -32,7 +33,9 @@ from pyspark.sql import functions as F
 from fiscora.llm.common import partitions, written
 from fiscora.llm.components import components
 
-SAMPLES, BANDS, ROWS, BITS, BLOCK = 256, 36, 7, 1024, 512
+SAMPLES, BITS, BLOCK = 256, 1024, 512
+#: The most that a pair at the threshold may be missed by all bands.
+MISSED = 1e-5
 BUFFER = 4 << 20
 
 
@@ -113,10 +116,17 @@ def odd_sketch(samples: np.ndarray) -> np.ndarray:
     return np.packbits((np.bincount(place.astype(np.int64), minlength=BITS) & 1).astype(np.uint8))
 
 
-def band_keys(samples: np.ndarray) -> np.ndarray:
-    rows = samples[: BANDS * ROWS].reshape(BANDS, ROWS)
-    h = np.arange(BANDS, dtype=np.uint64)
-    for i in range(ROWS):
+@cache
+def band_rows(percent: int) -> int:
+    """Samples of a band: as many as the threshold allows."""
+    return max((r for r in range(1, 17) if (1 - (percent / 100) ** r) ** (SAMPLES // r) <= MISSED), default=1)
+
+
+def band_keys(samples: np.ndarray, n_rows: int) -> np.ndarray:
+    n = SAMPLES // n_rows
+    rows = samples[: n * n_rows].reshape(n, n_rows)
+    h = np.arange(n, dtype=np.uint64)
+    for i in range(n_rows):
         h = mix(h * np.uint64(0xD6E8FEB86659FD93) + rows[:, i])
     return h
 
@@ -139,9 +149,9 @@ def pieces(texts: list[bytes]) -> Iterator[tuple[int, int]]:
         yield at, len(texts)
 
 
-def set_features(docs: DataFrame, k: int) -> DataFrame:
+def set_features(docs: DataFrame, k: int, percent: int) -> DataFrame:
     """(doc_id, n_shingles, fp, sketch, bands) of docs (doc_id, text)."""
-    import hashlib
+    n_rows = band_rows(percent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -153,7 +163,7 @@ def set_features(docs: DataFrame, k: int) -> DataFrame:
                     prints.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
                     m = samples_of(s) if len(s) else None
                     sketches.append(odd_sketch(m).tobytes() if len(s) else None)
-                    bands.append(band_keys(m).view(np.int64) if len(s) else None)
+                    bands.append(band_keys(m, n_rows).view(np.int64) if len(s) else None)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(sizes, pa.int64()), pa.array(prints, pa.binary()), pa.array(sketches, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], names=["doc_id", "n_shingles", "fp", "sketch", "bands"])
 
     return docs.mapInArrow(run, "doc_id long, n_shingles long, fp binary, sketch binary, bands array<long>")
@@ -217,7 +227,7 @@ def confirmed(dealt: DataFrame, percent: int) -> DataFrame:
 def near_duplicates(docs: DataFrame, k: int = 3, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row of docs."""
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    features = written(set_features(docs, k), "features")
+    features = written(set_features(docs, k, percent), "features")
     classes = features.where("n_shingles > 0").groupBy("fp").agg(F.min("doc_id").alias("rep"), F.first("sketch").alias("sketch"), F.first("bands").alias("bands"))
     classes = written(classes, "classes")
     banded = classes.select("fp", F.explode("bands").alias("band"))
@@ -261,8 +271,6 @@ def _parted(rows: DataFrame, found: DataFrame) -> DataFrame:
 
 def _with_sets(docs: DataFrame, members: DataFrame, k: int) -> DataFrame:
     """members with the shingles of their first document."""
-    import hashlib
-
     fields = [*members.columns, "shingles"]
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in members.schema.fields)
 

@@ -139,7 +139,7 @@ class Restorer:
         if not hits:
             return [], 0.0
         found = set().union(*hits.values())
-        return sorted(found), math.log1p(sum(t in hits for t in tokens) - len(found)) if len(tokens) else 0.0
+        return sorted(found), math.log1p(max(0, sum(t in hits for t in tokens) - len(found)))
 
 
 @cache

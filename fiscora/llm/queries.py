@@ -67,6 +67,12 @@ def op7_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op(read(spark, sf_dir, "documents"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 _WORDS = rf"list_filter(string_split_regex(translate(coalesce(text, ''), '{UPPER}', '{UPPER.lower()}'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')"
 
 OP2_SQL = rf"""
@@ -87,7 +93,7 @@ FROM d LEFT JOIN pos USING (doc_id) LEFT JOIN it USING (doc_id)
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_token_planes, op2_decontaminate, op3_main_text, op4_jpeg_media, op5_near_dedup, op6_secrets, op7_surrogates, op8_toxicity, op9_line_runs, op10_mixture)}
+    return {f.__name__: f for f in (op1_token_planes, op2_decontaminate, op3_main_text, op4_jpeg_media, op5_near_dedup, op6_secrets, op7_surrogates, op8_toxicity, op9_line_runs, op10_mixture, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
