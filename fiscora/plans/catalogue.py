@@ -1,11 +1,45 @@
-"""Registered queries of the document engine and the SQL that checks them."""
+"""Registered queries of the document engine and the SQL that checks them.
+
+Extraction queries read rendered documents; their SQL computes the expected values from the source
+columns, without any pattern matching, so that the two are independent.
+"""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from fiscora.operators import header
+from fiscora.plans import render
+
+FACTS = render.facts_sql()
+INVOICES = render.invoices_sql()
+
+
+def q_render_invoices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return render.invoices(spark, sf_dir).select("doc_key", "name", F.length("text").cast("long").alias("n_chars"), F.sha2("text", 256).alias("text_sha256"))
+
+
+def q_header_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = header.with_header(render.invoices(spark, sf_dir).select("doc_key", "text"))
+    return docs.select("doc_key", "document_type", "fiscal_letter", "document_number", "issue_date", "fiscal_code", "supported", F.size("warnings").cast("long").alias("n_warnings"))
+
+
+def q_fiscal_code_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = header.with_header(render.invoices(spark, sf_dir).select("doc_key", "text", "total"))
+    return docs.groupBy("fiscal_code").agg(F.count("*").alias("n_docs"), F.sum("total").cast("decimal(28,2)").alias("total"))
+
+
+SQL = {
+    "q_render_invoices": f"SELECT doc_key, name, cast(length(text) AS bigint) AS n_chars, sha256(text) AS text_sha256 FROM ({INVOICES})",
+    "q_header_extract": f"SELECT doc_key, kind AS document_type, letter AS fiscal_letter, document_number, issue_date, fiscal_code, true AS supported, cast(0 AS bigint) AS n_warnings FROM ({FACTS})",
+    "q_fiscal_code_counts": f"SELECT fiscal_code, count(*) AS n_docs, cast(sum(total) AS decimal(28,2)) AS total FROM ({FACTS}) GROUP BY 1",
+}
+
 
 def queries() -> dict:
-    return {}
+    return {n: f for n, f in globals().items() if n.startswith("q_")}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
