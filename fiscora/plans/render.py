@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from fiscora.sources.tables import read
 
-RECEIVER_ID = "30711111118"
+RECEIVER_ID = "30711111111"
 
 
 def two(x: str) -> str:
@@ -68,7 +68,7 @@ _HEAD = f"""CASE layout
   ELSE concat(legal_name, {_NL}, {_TITLE}, ' - ', letter, {_NL}, 'Nro: ', document_number, {_NL}, 'Fecha Emisión ', issue_date, {_NL}) END"""
 VAT_21, VAT_10 = "cast(floor(cents * 21 / 100) AS bigint)", "cast(floor(cents / 10) AS bigint)"
 TEXT = f"""concat({_HEAD}, 'Inicio de actividades: 01/03/1999', {_NL}, 'Razón social: ', legal_name, {_NL}, 'CUIT: ', supplier_tax_id, {_NL},
-  'Cliente: RECEPTORA DE PRUEBA SRL CUIT 30-71111111-8', {_NL}, {_RELATED},
+  'Cliente: RECEPTORA DE PRUEBA SRL CUIT 30-71111111-1', {_NL}, {_RELATED},
   CASE WHEN doc_key % 5 = 0 THEN concat('Moneda: Dólares estadounidenses USD', {_NL}) ELSE '' END,
   CASE WHEN doc_key % 2 = 0 THEN concat('IVA 21% ', {cents_text(VAT_21)}, {_NL}) ELSE concat('IVA 10,5%: ', {cents_text(VAT_10)}, {_NL}) END,
   CASE WHEN doc_key % 7 = 0 THEN concat('Percepción IIBB CABA 3%', {_NL}) ELSE '' END,
