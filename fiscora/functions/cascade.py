@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def bind(c: Column, f: Callable[[Column], Column]) -> Column:
+    """f(c), with c computed once however often f names it."""
+    return F.get(F.transform(F.array(c), f), F.lit(0))
+
+
 def group(c: Column, pattern: str, n: int = 1) -> Column:
     """A group of the first match, or null."""
-    found = F.regexp_extract(c, pattern, n)
-    return F.when(found != "", found)
+    return bind(F.regexp_extract(c, pattern, n), lambda found: F.when(found != "", found))
 
 
 def first_match(c: Column, patterns: Sequence[str], n: int = 1) -> Column:

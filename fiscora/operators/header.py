@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fiscora.functions.cascade import document_number, first_match, group, number_by
+from fiscora.functions.cascade import bind, document_number, first_match, group, number_by
 from fiscora.functions.dates import DATE, MONTHS, from_parts, header_date, told, year_repaired
 from fiscora.functions.text import clean_lines, upper_collapsed
 
@@ -155,14 +155,17 @@ def issue_date(norm: Column, kind: Column, confirmed: bool = False) -> Column:
     compact = F.regexp_extract(tight, r"[ABC]\d{4,5}-\d{8}(\d{6}|\d{8})", 1)
     compact_date = header_date(F.when(compact != "", F.concat_ws("/", F.substring(compact, 1, 2), F.substring(compact, 3, 2), F.substring(compact, 5, 4))))
     block = rf"PERIODO\s+FACTURADO\s+DESDE:.{{0,80}}?HASTA:.{{0,80}}?FECHA\s+DE\s+VTO\.?\s+PARA\s+EL\s+PAGO:.{{0,500}}?{DATE}\s+{DATE}\s+{DATE}\s+({DATE})"
-    usable = _dates(norm)
 
     def first(rows: Column) -> Column:
         return F.get(F.filter(F.transform(rows, lambda x: header_date(x["1"])), lambda d: d.isNotNull()), F.lit(0))
 
-    titled = first(F.filter(usable, lambda x: x["2"].rlike(r"^.{0,80}?\b(?:FACTURA|NOTA\s+DE\s+(?:CREDITO|DEBITO))\b")))
-    labelled = first(F.filter(usable, lambda x: x["0"].rlike(r"\bFECHA\b\s*[:\-]?\s*$")))
-    anywhere = F.coalesce(first(usable), F.get(F.filter(F.transform(F.regexp_extract_all(tight, F.lit(f"({DATE})"), F.lit(1)), header_date), lambda d: d.isNotNull()), F.lit(0)))
+    def contextual(usable: Column) -> Column:
+        titled = first(F.filter(usable, lambda x: x["2"].rlike(r"^.{0,80}?\b(?:FACTURA|NOTA\s+DE\s+(?:CREDITO|DEBITO))\b")))
+        labelled = first(F.filter(usable, lambda x: x["0"].rlike(r"\bFECHA\b\s*[:\-]?\s*$")))
+        return F.coalesce(titled, labelled, F.when(fiscal, first(usable)))
+
+    fiscal = kind.isNotNull() | F.lit(confirmed)
+    squeezed = F.get(F.filter(F.transform(F.regexp_extract_all(tight, F.lit(f"({DATE})"), F.lit(1)), header_date), lambda d: d.isNotNull()), F.lit(0))
     strong = [
         textual,
         _parts_date(norm, rf"\bFACTURA\s+\d{{1,5}}\s*[-/]\s*\d{{1,8}}.{{0,80}}?(\d{{1,2}})\s+(\d{{1,2}})\s+(\d{{4}})\b"),
@@ -172,10 +175,11 @@ def issue_date(norm: Column, kind: Column, confirmed: bool = False) -> Column:
         compact_date,
         *[header_date(F.regexp_extract(norm, rf"\b{label}\b\s*[:\-]?\s*({DATE})", 1)) for label in (r"FECHA\s+DE\s+EMISION", r"FECHA\s+EMISION", r"FECHA\s+DEL\s+COMPROBANTE")],
     ]
-    fiscal = kind.isNotNull() | F.lit(confirmed)
+    # The date in the service block is never repaired; the others are, by the due date.
     settled = header_date(F.regexp_extract(norm, block, 1))
-    before, after = F.coalesce(*strong), F.coalesce(titled, labelled, F.when(fiscal, anywhere))
-    return F.when(before.isNotNull(), year_repaired(before, norm)).when(settled.isNotNull(), settled).otherwise(year_repaired(after, norm))
+    rest = F.coalesce(bind(_dates(norm), contextual), F.when(fiscal, squeezed))
+    repaired = lambda d: bind(d, lambda x: F.when(x.isNotNull(), year_repaired(x, norm)))
+    return F.coalesce(repaired(F.coalesce(*strong)), settled, repaired(rest))
 
 
 def with_header(docs: DataFrame, text: str = "text") -> DataFrame:
