@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from fiscora.functions import taxid, text
 from fiscora.operators import amounts, classify, filename, files, fusion, header, issuer, suppliers
+from fiscora.plans import documents as plans
 from fiscora.plans import render
 from fiscora.sources.documents import joined_pages
 from fiscora.sources.tables import read
@@ -239,6 +240,16 @@ def q_occasional_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("tax_digits", "name", F.col("occurrences").cast("long"), F.col("first_seen").cast("date"), F.col("last_seen").cast("date"), "review")
 
 
+_WAYS = "CASE WHEN doc_key % 6 = 5 THEN 'Lista de precios actualizada: presentación, precio sugerido' WHEN doc_key % 6 = 4 THEN ' ' ELSE text END"
+
+
+def q_process_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole way, with price lists and blank texts among the documents."""
+    docs = render.invoices(spark, sf_dir).select("doc_key", "name", F.expr(_WAYS).alias("text"))
+    known = _suppliers(spark, sf_dir).withColumn("folder_name", F.lit(None).cast("string")).withColumn("display_name", F.col("legal_name"))
+    return plans.process(docs, known, render.RECEIVER_ID, RECEIVER_NAME).select("doc_key", "status", "fiscal_code", "document_number", "issue_date", "destination")
+
+
 # Files --------------------------------------------------------------------------------------------
 
 
@@ -411,6 +422,8 @@ SELECT rule, count(*) AS n FROM u GROUP BY 1""",
 SELECT f.doc_key, best IS NOT NULL AND NOT against AND ties = 1 AS detected, CASE WHEN NOT against AND ties = 1 THEN identifier END AS identifier,
 CASE WHEN best IS NULL THEN 'sin_coincidencias' WHEN against THEN 'evidencia_contradictoria' WHEN ties > 1 THEN 'candidatos_empatados' WHEN i AND l THEN 'razon_social_y_cuit' WHEN i THEN 'cuit' ELSE 'razon_social' END AS method,
 CASE WHEN best IS NULL OR against OR ties > 1 THEN 'ninguna' WHEN i AND l THEN 'alta' ELSE 'media' END AS confidence, coalesce(best, 0) AS score FROM ({FACTS}) AS f LEFT JOIN g ON f.doc_key = g.doc_key""",
+    "q_process_documents": f"""SELECT doc_key, CASE doc_key % 6 WHEN 5 THEN 'archivado' WHEN 4 THEN 'pendiente' ELSE 'organizado' END AS status, fiscal_code, document_number, CASE WHEN doc_key % 6 < 4 THEN issue_date END AS issue_date,
+CASE doc_key % 6 WHEN 5 THEN concat('_Listas_De_Precios/', name) WHEN 4 THEN concat('_Pendientes/', name) ELSE concat(replace(legal_name, ' ', '_'), '/', substr(issue_date, 7, 4), '/', substr(issue_date, 4, 2), '/', substr(issue_date, 1, 2), '-', substr(issue_date, 4, 2), fiscal_code, document_number, '_RECEPTORA_DE_PRUEBA_', replace(legal_name, ' ', '_'), '.pdf') END AS destination FROM ({INVOICES})""",
     "q_name_rules": f"SELECT doc_key, CASE WHEN name LIKE '%\\_003\\_%' ESCAPE '\\' OR name LIKE '%\\_006\\_%' ESCAPE '\\' THEN 'tres_o_seis' WHEN name LIKE '%\\_011\\_%' ESCAPE '\\' THEN 'once' ELSE 'chico' END AS value FROM ({INVOICES}) WHERE name LIKE '%\\_003\\_%' ESCAPE '\\' OR name LIKE '%\\_006\\_%' ESCAPE '\\' OR name LIKE '%\\_011\\_%' ESCAPE '\\' OR name LIKE '3000000000%'",
     "q_occasional_candidates": f"SELECT tax_digits, min(legal_name) AS name, count(DISTINCT concat(document_number, fiscal_code)) AS occurrences, min(issued) AS first_seen, max(issued) AS last_seen, count(DISTINCT concat(document_number, fiscal_code)) >= 140 AS review FROM ({FACTS}) WHERE s_suppkey % 2 = 1 GROUP BY 1",
     "q_exact_duplicates": _DUPLICATES,
