@@ -75,7 +75,8 @@ TEXT = f"""concat({_HEAD}, 'Inicio de actividades: 01/03/1999', {_NL}, 'Razón s
   CASE WHEN doc_key % 11 = 0 THEN concat('Impuestos internos 4,5%', {_NL}) ELSE '' END,
   'Subtotal: $ ', {AMOUNT}, {_NL}, 'Importe total: $ ', {AMOUNT}, {_NL},
   'CAE N°: 7', lpad(cast(doc_key AS string), 13, '0'), {_NL}, 'Fecha de vto. de CAE: ', {day('issued')}, {_NL})"""
-INVOICES = f"SELECT f.*, {TEXT} AS text, concat(tax_digits, '_', {_CODE}, '_', lpad(cast(point AS string), 5, '0'), '_', lpad(cast(number_ AS string), 8, '0'), '.pdf') AS name FROM ({FACTS}) AS f"
+WRITTEN = f"SELECT f.*, {TEXT} AS text, concat(tax_digits, '_', {_CODE}, '_', lpad(cast(point AS string), 5, '0'), '_', lpad(cast(number_ AS string), 8, '0'), '.pdf') AS name FROM __facts__ AS f"
+INVOICES = WRITTEN.replace("__facts__", f"({FACTS})")
 TABLES = {"orders": "orders", "lineitem": "lineitem", "supplier": "supplier"}
 
 
@@ -92,7 +93,9 @@ def _query(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
 
 
 def invoices(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _query(spark, sf_dir, INVOICES)
+    # The source tables are one file each: deal the facts to all cores before the text work.
+    dealt = facts(spark, sf_dir).repartition(spark.sparkContext.defaultParallelism, "doc_key")
+    return spark.sql(WRITTEN.replace("__facts__", "{facts}"), facts=dealt)
 
 
 def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
