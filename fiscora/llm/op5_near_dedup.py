@@ -36,7 +36,7 @@ from fiscora.llm.components import components
 SAMPLES, BITS, BLOCK = 256, 1024, 512
 #: The most that a pair at the threshold may be missed by all bands.
 MISSED = 1e-5
-BUFFER = 4 << 20
+BUFFER = 1 << 20
 
 
 def mix(h: np.ndarray) -> np.ndarray:
