@@ -21,16 +21,22 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Iterator
-from functools import cache
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fiscora.llm.common import if_small
+
 #: Terms in the model, labelled rows that fit it, and readings kept for each pair of last letters.
 TERMS, FIT_ROWS, READINGS = 1000, 60_000, 6
 THRESHOLD = 0.7
+#: Labels (an id and a number each) up to which they are broadcast.
+LABELS = 500_000
+#: Characters whose trigrams are counted at once.
+PIECE = 1 << 18
 LETTERS = "abcdefghijklmnopqrstuvwxyz"
 #: What a character may stand for, besides itself.
 LOOKS = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "<": "c", "€": "e", "£": "l", "¡": "i", "а": "a", "е": "e", "о": "o", "р": "p", "с": "c", "у": "y", "х": "x", "і": "i", "ѕ": "s", "ο": "o", "α": "a", "ι": "i", "à": "a", "á": "a", "â": "a", "ä": "a", "è": "e", "é": "e", "ê": "e", "ë": "e", "ì": "i", "í": "i", "î": "i", "ï": "i", "ò": "o", "ó": "o", "ô": "o", "ö": "o", "ù": "u", "ú": "u", "û": "u", "ü": "u"}
@@ -47,12 +53,15 @@ ENDS = re.compile(r"^[\W_]+|[\W_]+$")
 SOFT_ENDS = re.compile(r"^[^\w@$!|+(<€£¡]+|[^\w@$|+€£]+$|^[\W_]{3,}|[\W_]{3,}$|!+$")
 
 
-def gram_codes(texts: list[str | None]) -> np.ndarray:
-    """Codes of the letter trigrams of texts; all that is no letter a-z is a border (0)."""
-    data = np.frombuffer(" ".join(t.lower() for t in texts if t).encode("ascii", "replace"), np.uint8)
-    code = np.where((data >= 97) & (data <= 122), data - 96, 0).astype(np.int32)
-    code = np.concatenate([[0, 0], code, [0]])
-    return (code[:-2] * 27 + code[1:-1]) * 27 + code[2:]
+def gram_codes(text: str | None) -> Iterator[np.ndarray]:
+    """Codes of the letter trigrams of a text, a piece at a time; what is no letter a-z is a border (0)."""
+    low = (text or "").lower()
+    for at in range(0, len(low), PIECE):
+        # Two characters of the piece before come along, so that no trigram is lost or counted twice.
+        data = np.frombuffer((low[max(at - 2, 0) : at + PIECE]).encode("ascii", "replace"), np.uint8)
+        code = np.where((data >= 97) & (data <= 122), data - 96, 0).astype(np.int32)
+        code = np.concatenate([[0, 0] if at == 0 else [], code, [0] if at + PIECE >= len(low) else []]).astype(np.int32)
+        yield (code[:-2] * 27 + code[1:-1]) * 27 + code[2:]
 
 
 class Model:
@@ -93,7 +102,7 @@ class Model:
 class Restorer:
     """Restored terms of texts. known: terms that win over likelier readings outside of them."""
 
-    def __init__(self, counts: np.ndarray, known: frozenset[str] = frozenset(), cache: int = 300_000):
+    def __init__(self, counts: np.ndarray, known: frozenset[str] = frozenset(), cache: int = 80_000):
         self.model, self.known, self.cache = Model(counts), known, cache
         self.seen: dict[str, tuple[str, ...]] = {}
 
@@ -142,7 +151,7 @@ class Restorer:
         return sorted(found), math.log1p(max(0, sum(t in hits for t in tokens) - len(found)))
 
 
-@cache
+@lru_cache(1)  # a worker keeps what it has read for one model at a time
 def restorer(counts: bytes, known: frozenset[str]) -> Restorer:
     return Restorer(np.frombuffer(counts, np.int64), known)
 
@@ -153,7 +162,9 @@ def gram_counts(docs: DataFrame) -> np.ndarray:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(27**3, np.int64)
         for batch in batches:
-            total += np.bincount(gram_codes(batch.column(0).to_pylist()), minlength=27**3)
+            for text in batch.column(0):
+                for codes in gram_codes(text.as_py()):
+                    total += np.bincount(codes, minlength=27**3)
         kept = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(kept.astype(np.int32)), pa.array(total[kept])], names=["code", "n"])
 
@@ -169,7 +180,7 @@ def telling_terms(labelled: DataFrame, counts: bytes, n_terms: int) -> list[str]
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = restorer(counts, frozenset())
         for batch in batches:
-            terms = [sorted(own.terms(t)) for t in batch.column(1).to_pylist()]
+            terms = [sorted(own.terms(t.as_py())) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(terms, pa.list_(pa.string()))], names=["y", "terms"])
 
     rows = labelled.select("y", "text").mapInArrow(run, "y int, terms array<string>")
@@ -210,7 +221,8 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, n_terms: int = TERMS, fit
     """(doc_id, score) of every row of docs (doc_id, text), learnt from labels (doc_id, toxic)."""
     docs = docs.select("doc_id", "text")
     taught = labels.where(F.col("toxic").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id", F.col("toxic").cast("int").alias("y"))
-    labelled = docs.join(taught, "doc_id").select("doc_id", "text", "y")
+    # A small table of labels is broadcast, so that no text is shuffled; a larger one is not.
+    labelled = docs.join(if_small(taught, LABELS), "doc_id").select("doc_id", "text", "y")
     counts = gram_counts(docs).tobytes()
     terms = telling_terms(labelled, counts, n_terms)
     place, known = {t: i for i, t in enumerate(terms)}, frozenset(terms)
@@ -218,7 +230,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, n_terms: int = TERMS, fit
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = restorer(counts, known)
         for batch in batches:
-            found = [own.features(t, place) for t in batch.column(2).to_pylist()]
+            found = [own.features(t.as_py(), place) for t in batch.column(2)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([f[0] for f in found], pa.list_(pa.int32())), pa.array([f[1] for f in found], pa.float64())], names=["doc_id", "y", "places", "recur"])
 
     shown = labelled.select("doc_id", "y", "text").mapInArrow(features, "doc_id long, y int, places array<int>, recur double")
@@ -233,7 +245,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, n_terms: int = TERMS, fit
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = restorer(counts, known)
         for batch in batches:
-            found = [own.features(t, place) for t in batch.column(1).to_pylist()]
+            found = [own.features(t.as_py(), place) for t in batch.column(1)]
             z = np.array([w[-1] + w[-2] * r + sum(w[p] for p in ps) for ps, r in found])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(1 / (1 + np.exp(-z)))], names=["doc_id", "score"])
 
