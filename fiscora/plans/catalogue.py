@@ -135,7 +135,7 @@ def q_clean_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_path_token(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "conversations").select("conv_id", "turn", text.path_token(F.substring("text", 1, 60)).alias("token"))
+    return read(spark, sf_dir, "conversations").select("conv_id", "turn", text.path_token(F.col("text")).alias("token"))
 
 
 def q_text_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
