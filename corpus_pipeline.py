@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from fiscora.llm.common import read, written
 from fiscora.llm.op1_token_planes import op1_token_planes
-from fiscora.llm.op2_decontaminate import decontaminate
+from fiscora.llm.op2_decontaminate import uncontaminated
 from fiscora.llm.op5_near_dedup import first_of_groups
 from fiscora.llm.op8_toxicity import clean_documents
 from fiscora.llm.op10_mixture import Target, mix_documents
@@ -26,14 +26,13 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates (five words, 0.8) the smallest doc_id stays."""
+    """Of each group of near duplicates (five words, 0.8) one row, that of the smallest doc_id, stays."""
     return first_of_groups(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a window of a benchmark text go."""
-    found = decontaminate(docs, read(spark, sf_dir, "benchmark")).where("size(item_ids) > 0").select("doc_id").distinct()
-    return docs.join(found, "doc_id", "left_anti").select(*docs.columns)
+    return uncontaminated(docs, read(spark, sf_dir, "benchmark"))
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -87,9 +87,11 @@ def window_patterns(items: DataFrame, counts: DataFrame, window: int, rarest: in
     return best.distinct().withColumn("pattern", F.xxhash64("key", F.to_json("terms")))
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, rarest: int = RAREST, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs' ids and texts with n_words, hit positions and item_ids found in each."""
-    docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, rarest: int = RAREST, id_col: str = "doc_id", text_col: str = "text", rest: Column | None = None) -> DataFrame:
+    """docs' ids and texts with n_words, hit positions and item_ids found in each; rest, a struct of
+    other columns, goes with its row where it is given."""
+    carried = [] if rest is None else ["rest"]
+    docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), *([] if rest is None else [rest.alias("rest")]))
     items = benchmark.where(F.col("item_id").isNotNull()).select("item_id", words(F.col("text")).alias("words")).distinct()
     items = written(items.withColumn("key", F.xxhash64("item_id", "words")), "items")
     tokenised = docs.select("doc_id", words(F.col("text")).alias("words"))
@@ -104,12 +106,12 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, r
     aligned = aligned.join(if_small(items.select("key", F.col("words").alias("item"))), "key")
     found = aligned.groupBy("doc_id").agg(F.collect_list(F.struct("item_id", "starts", "item")).alias("found"))
     found = found.hint("shuffle_hash").withColumnRenamed("doc_id", "found_id")
-    joined = docs.join(found, docs["doc_id"].eqNullSafe(found["found_id"]), "left").select("doc_id", "text", words(F.col("text")).alias("words"), "found")
+    joined = docs.join(found, docs["doc_id"].eqNullSafe(found["found_id"]), "left").select("doc_id", "text", words(F.col("text")).alias("words"), "found", *carried)
     occurring = F.expr(f"""transform(coalesce(found, array()), f -> struct(f.item_id AS item_id, array_distinct(flatten(transform(f.starts, d ->
         flatten(transform(filter(sequence(0, greatest(size(f.item) - {window}, 0)), s -> CASE WHEN d + s < 0 THEN false ELSE slice(words, d + s + 1, {window} + least(0, size(f.item) - {window})) = slice(f.item, s + 1, {window}) END),
         s -> sequence(d + s, d + s + least({window}, size(f.item)) - 1)))))) AS hits))""")
-    hits = joined.select("doc_id", "text", F.size("words").alias("n_words"), F.filter(occurring, lambda x: F.size(x["hits"]) > 0).alias("occurring"))
-    return hits.select("doc_id", "text", "n_words", F.expr("array_distinct(flatten(occurring.hits))").alias("hit_positions"), F.expr("array_sort(array_distinct(transform(occurring.item_id, i -> cast(i AS string))))").alias("item_ids"))
+    hits = joined.select("doc_id", "text", *carried, F.size("words").alias("n_words"), F.filter(occurring, lambda x: F.size(x["hits"]) > 0).alias("occurring"))
+    return hits.select("doc_id", "text", *carried, "n_words", F.expr("array_distinct(flatten(occurring.hits))").alias("hit_positions"), F.expr("array_sort(array_distinct(transform(occurring.item_id, i -> cast(i AS string))))").alias("item_ids"))
 
 
 def op2_decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -117,3 +119,10 @@ def op2_decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     out = decontaminate(docs, benchmark)
     n_hit = F.size("hit_positions").cast("long")
     return out.select("doc_id", F.col("n_words").cast("long"), n_hit.alias("n_hit"), F.size("item_ids").cast("long").alias("n_items"), F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
+
+
+def uncontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """docs without the rows whose own text holds a window of benchmark; all columns stay."""
+    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
+    judged = decontaminate(docs, benchmark, rest=F.struct(F.lit(0).alias("_"), *rest)).where("size(item_ids) = 0")
+    return judged.select(*[F.col(f"rest.`{c}`").alias(c) if c in rest else c for c in docs.columns])

@@ -37,6 +37,8 @@ SAMPLES, BITS, BLOCK = 256, 1024, 512
 #: The most that a pair at the threshold may be missed by all bands.
 MISSED = 1e-5
 BUFFER = 1 << 20
+#: The column of a row's own number.
+ROW = "_row"
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -294,6 +296,10 @@ def op5_near_dedup(docs: DataFrame) -> DataFrame:
 
 
 def first_of_groups(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """docs without those that a document of a smaller doc_id stands for; all columns stay."""
-    gone = near_duplicates(docs, k, percent).where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """docs with one row of each group, that of the smallest doc_id (a missing one is the largest);
+    all columns stay. Rows are told apart by a number of their own, so ids may repeat or be missing."""
+    keyed = written(docs.withColumn(ROW, F.monotonically_increasing_id()), "rows")
+    groups = near_duplicates(keyed, k, percent, id_col=ROW).select(F.col("doc_id").alias(ROW), "component_id")
+    order = keyed.select(ROW, F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", F.xxhash64("text").alias("t"), ROW).alias("order"))
+    first = groups.join(order, ROW).groupBy("component_id").agg(F.min("order").alias("first")).select(F.col(f"first.{ROW}").alias(ROW))
+    return keyed.join(first, ROW, "left_semi").select(*docs.columns)

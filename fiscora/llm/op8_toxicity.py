@@ -20,7 +20,7 @@ from __future__ import annotations
 
 import math
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -217,9 +217,9 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, n_terms: int = TERMS, fit_rows: int = FIT_ROWS) -> DataFrame:
-    """(doc_id, score) of every row of docs (doc_id, text), learnt from labels (doc_id, toxic)."""
-    docs = docs.select("doc_id", "text")
+def scorer(docs: DataFrame, labels: DataFrame, n_terms: int = TERMS, fit_rows: int = FIT_ROWS) -> Callable[[], Callable[[pa.Array], np.ndarray]]:
+    """What makes, in a worker, the function from texts to scores, learnt from docs (doc_id, text)
+    and labels (doc_id, toxic)."""
     taught = labels.where(F.col("toxic").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id", F.col("toxic").cast("int").alias("y"))
     # A small table of labels is broadcast, so that no text is shuffled; a larger one is not.
     labelled = docs.join(if_small(taught, LABELS), "doc_id").select("doc_id", "text", "y")
@@ -242,12 +242,28 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, n_terms: int = TERMS, fit
         share = float(y.mean()) if len(y) else 0.0
         w = np.append(np.zeros(len(terms) + 1), math.log((share + 1e-6) / (1 - share + 1e-6)))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def made() -> Callable[[pa.Array], np.ndarray]:
         own = restorer(counts, known)
+
+        def score(texts: pa.Array) -> np.ndarray:
+            found = [own.features(t.as_py(), place) for t in texts]
+            z = np.array([w[-1] + w[-2] * r + sum(w[p] for p in ps) for ps, r in found], float)
+            return 1 / (1 + np.exp(-z))
+
+        return score
+
+    return made
+
+
+def score_toxicity(docs: DataFrame, labels: DataFrame, n_terms: int = TERMS, fit_rows: int = FIT_ROWS) -> DataFrame:
+    """(doc_id, score) of every row of docs (doc_id, text), learnt from labels (doc_id, toxic)."""
+    docs = docs.select("doc_id", "text")
+    score = scorer(docs, labels, n_terms, fit_rows)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        judge = score()
         for batch in batches:
-            found = [own.features(t.as_py(), place) for t in batch.column(1)]
-            z = np.array([w[-1] + w[-2] * r + sum(w[p] for p in ps) for ps, r in found])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(1 / (1 + np.exp(-z)))], names=["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(judge(batch.column(1)))], names=["doc_id", "score"])
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, score double")
 
@@ -258,6 +274,14 @@ def op8_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def clean_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """docs without those whose text is predicted toxic; all columns stay."""
-    scored = score_toxicity(docs, labels).where(F.col("score") >= THRESHOLD).select("doc_id").distinct()
-    return docs.join(scored, docs["doc_id"].eqNullSafe(scored["doc_id"]), "left_anti")
+    """docs without those whose text is predicted toxic; all columns stay. Each row is judged as it
+    passes, so neither repeated nor missing ids matter."""
+    score = scorer(docs.select("doc_id", "text"), labels)
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        judge = score()
+        for batch in batches:
+            yield batch.filter(pa.array(judge(batch.column(at)) < THRESHOLD))
+
+    return docs.mapInArrow(run, docs.schema)
