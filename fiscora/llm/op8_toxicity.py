@@ -7,8 +7,8 @@ search keeps the best readings by last two letters under a character trigram mod
 corpus. The restored terms are scored by a logistic model.
 
 What is learnt: trigram counts from all documents; document frequencies of restored terms from all
-labelled training rows; the weights of the TERMS most telling terms from at most FIT_ROWS of these
-rows, taken by the order of a hash of the id (a bounded sample, as the parameters say). Rows held
+labelled training rows; the weights of all terms that pass the test of telling_terms, however many,
+from at most FIT_ROWS of these rows, taken by the order of a hash of the id (a bounded sample, as the parameters say). Rows held
 out by the caller are never learnt from. Scores use the text alone.
 
 Defined results: null and empty texts have no terms and get the model's base rate; without any
@@ -30,8 +30,8 @@ from pyspark.sql import functions as F
 
 from fiscora.llm.common import if_small
 
-#: Terms in the model, labelled rows that fit it, and readings kept for each pair of last letters.
-TERMS, FIT_ROWS, READINGS = 1000, 60_000, 6
+#: Labelled rows that fit the model, and readings kept for each pair of last letters.
+FIT_ROWS, READINGS = 60_000, 6
 THRESHOLD = 0.7
 #: Labels (an id and a number each) up to which they are broadcast.
 LABELS = 500_000
@@ -174,8 +174,8 @@ def gram_counts(docs: DataFrame) -> np.ndarray:
     return out
 
 
-def telling_terms(labelled: DataFrame, counts: bytes, n_terms: int) -> list[str]:
-    """The terms whose presence goes with label 1 most surely (log-likelihood ratio)."""
+def telling_terms(labelled: DataFrame, counts: bytes) -> list[str]:
+    """All terms whose presence goes with label 1 (log-likelihood ratio), the surest first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = restorer(counts, frozenset())
@@ -193,7 +193,7 @@ def telling_terms(labelled: DataFrame, counts: bytes, n_terms: int) -> list[str]
     a, b = F.col("a"), F.col("d") - F.col("a")
     ratio = part(a, F.col("d") * (n1 / n)) + part(b, F.col("d") * (1 - n1 / n)) + part(F.lit(n1) - a, (F.lit(n) - F.col("d")) * (n1 / n)) + part(F.lit(n - n1) - b, (F.lit(n) - F.col("d")) * (1 - n1 / n))
     strong = by_term.where((F.col("a") >= 4) & (F.col("a") * n > 2 * F.col("d") * n1)).select("term", ratio.alias("ratio")).where("ratio > 8")
-    return [r["term"] for r in strong.orderBy(F.desc("ratio"), "term").limit(n_terms).collect()]
+    return [r["term"] for r in strong.orderBy(F.desc("ratio"), "term").collect()]
 
 
 def fit(labels: np.ndarray, places: list[np.ndarray], recur: np.ndarray, n_terms: int, steps: int = 400) -> np.ndarray:
@@ -217,14 +217,14 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def scorer(docs: DataFrame, labels: DataFrame, n_terms: int = TERMS, fit_rows: int = FIT_ROWS) -> Callable[[], Callable[[pa.Array], np.ndarray]]:
+def scorer(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Callable[[], Callable[[pa.Array], np.ndarray]]:
     """What makes, in a worker, the function from texts to scores, learnt from docs (doc_id, text)
     and labels (doc_id, toxic)."""
     taught = labels.where(F.col("toxic").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id", F.col("toxic").cast("int").alias("y"))
     # A small table of labels is broadcast, so that no text is shuffled; a larger one is not.
     labelled = docs.join(if_small(taught, LABELS), "doc_id").select("doc_id", "text", "y")
     counts = gram_counts(docs).tobytes()
-    terms = telling_terms(labelled, counts, n_terms)
+    terms = telling_terms(labelled, counts)
     place, known = {t: i for i, t in enumerate(terms)}, frozenset(terms)
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -255,10 +255,10 @@ def scorer(docs: DataFrame, labels: DataFrame, n_terms: int = TERMS, fit_rows: i
     return made
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, n_terms: int = TERMS, fit_rows: int = FIT_ROWS) -> DataFrame:
+def score_toxicity(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> DataFrame:
     """(doc_id, score) of every row of docs (doc_id, text), learnt from labels (doc_id, toxic)."""
     docs = docs.select("doc_id", "text")
-    score = scorer(docs, labels, n_terms, fit_rows)
+    score = scorer(docs, labels, fit_rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         judge = score()
