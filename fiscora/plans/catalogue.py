@@ -181,6 +181,8 @@ def q_classify_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Suppliers ----------------------------------------------------------------------------------------
 
 _SUPPLIERS = f"SELECT concat('proveedor_', cast(s_suppkey AS string)) AS identifier, concat('PROVEEDOR ', upper(replace(s_name, '#', ' ')), ' SA') AS legal_name, concat('Fantasía ', cast(s_suppkey AS string)) AS display_name, {render.tax_id('s_suppkey')} AS cuit FROM __supplier__"
+#: A catalogue that lacks some of the suppliers.
+_CATALOGUED = f"SELECT {render.tax_id('s_suppkey')} AS tax_id FROM __supplier__ WHERE s_suppkey % 2 = 0"
 _RECEIVED = f"SELECT l_orderkey * 10 + l_linenumber AS row_no, {render.tax_id('l_suppkey')} AS tax_id, concat('Proveedor ', cast(l_suppkey % 40 AS string), CASE WHEN l_linenumber % 3 = 0 THEN ' SRL' ELSE ' SA' END) AS name, concat('F', l_returnflag) AS kind, CASE WHEN l_linestatus = 'O' THEN '$' ELSE 'U$S' END AS currency, CASE WHEN l_linenumber = 7 THEN 1.0 ELSE 0.0 END AS rate_25, 0.0 AS rate_5, CASE WHEN l_linenumber % 2 = 0 THEN 2.0 ELSE 0.0 END AS rate_105, 1.0 AS rate_21, CASE WHEN l_quantity > 49 THEN 1.0 ELSE 0.0 END AS rate_27, CASE WHEN l_tax > 0.07 THEN l_tax ELSE 0 END AS other_taxes FROM __lineitem__ WHERE l_orderkey % 8 = 0"
 
 
@@ -234,9 +236,10 @@ def q_name_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_occasional_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    facts = render.facts(spark, sf_dir).where("s_suppkey % 2 = 1")
-    seen = facts.select(F.col("supplier_tax_id").alias("tax_id"), F.col("legal_name").alias("name"), F.concat("document_number", "fiscal_code").alias("document_key"), F.lit("X").alias("folder"), F.col("issued").cast("timestamp").alias("seen_at"))
-    out = suppliers.occasional(seen.unionAll(seen.where("tax_id < '30-0000005'")), 140)
+    """All documents against a catalogue that holds the suppliers of even numbers."""
+    known = spark.sql(_CATALOGUED.replace("__supplier__", "{supplier}"), supplier=read(spark, sf_dir, "supplier"))
+    seen = render.facts(spark, sf_dir).select(F.col("supplier_tax_id").alias("tax_id"), F.col("legal_name").alias("name"), F.concat("document_number", "fiscal_code").alias("document_key"), F.lit("X").alias("folder"), F.col("issued").cast("timestamp").alias("seen_at"))
+    out = suppliers.occasional(seen.unionAll(seen.where("tax_id < '30-0000005'")), known)
     return out.select("tax_digits", "name", F.col("occurrences").cast("long"), F.col("first_seen").cast("date"), F.col("last_seen").cast("date"), "review")
 
 
