@@ -16,9 +16,9 @@ columns other than the id and the text are not read, whatever their names.
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections.abc import Iterator
-from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -26,12 +26,21 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from fiscora.llm.common import partitions, scratch
+from fiscora.llm.common import kept, partitions, scratch
 
 BLOCK_IDS = 65_536
 CHUNK_IDS = 1_048_576
-#: Distinct pieces whose ids a worker remembers.
-CACHE = 400_000
+#: Distinct pieces whose ids a worker remembers, in each of two generations: about 40 MB each.
+REMEMBERED = 160_000
+#: Characters of text that are encoded together (a longer text alone).
+TOGETHER = 1 << 19
+#: A byte-level vocabulary's sign of each byte: itself where it can be seen, else the next free one.
+_SEEN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_HIDDEN = [i for i in range(256) if i not in _SEEN]
+SIGNS = {i: 256 + k for k, i in enumerate(_HIDDEN) if i != 10}
+#: White space beyond ASCII beside a space.
+_WIDE = "\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+WIDE_GAP = re.compile(f" [{_WIDE}]|[{_WIDE}] ")
 
 CHUNK_SCHEMA = (
     "shard int, chunk int, first_id long, n_ids long, block_ids int, width int, "
@@ -39,22 +48,47 @@ CHUNK_SCHEMA = (
 )
 
 
+class Known(dict):
+    """Ids by piece, in two generations of at most `most` pieces each. A piece that neither knows is
+    noted in `new` and stands for nothing until it is learnt."""
+
+    def __init__(self, most: int):
+        super().__init__()
+        self.most, self.old, self.new = most, {}, []
+
+    def __missing__(self, piece: str) -> bytes:
+        ids = self.old.get(piece)
+        if ids is None:
+            self.new.append(piece)
+            ids = b""
+        self[piece] = ids
+        return ids
+
+    def age(self) -> None:
+        if len(self) > self.most:
+            self.old = dict(self)
+            self.clear()
+
+
 class PieceEncoder:
     """Ids of texts by the tokenizers library, remembered by piece.
 
     A byte-level pre-tokenizer always ends a token before a lone space between two other
     characters, so a text cut there has the ids of its pieces, one after the other. Unknown pieces
-    of a text are encoded together and told apart by the bytes that their tokens stand for. Texts
-    with a space beside other white space, and texts with special tokens, are encoded whole.
+    of some texts are encoded together and told apart by the bytes that their tokens stand for;
+    those of letters alone are one word each, so the library may cut at a mark between them in
+    place of its pattern. Texts with a space beside other white space, and texts with special
+    tokens, are encoded whole.
     """
 
-    def __init__(self, path: str, end_id: int, cache: int = CACHE):
+    def __init__(self, path: str, end_id: int, most: int = REMEMBERED):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
-        self.tokenizer, self.cache = Tokenizer.from_file(path), cache
-        self.known: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+        self.tokenizer = Tokenizer.from_file(path)
+        self.of_words = Tokenizer.from_file(path)
+        self.of_words.pre_tokenizer = pre_tokenizers.CharDelimiterSplit("\n")
+        self.known = Known(most)
         self.end = np.array([end_id], "<u4").tobytes()
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
@@ -65,43 +99,64 @@ class PieceEncoder:
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def learn(self, pieces: list[str]) -> bool:
-        """Remember the ids of pieces; False if one of them has white space at an end."""
-        if any(p[-1].isspace() or p[1].isspace() for p in pieces):
-            return False
-        new = []
-        for p in pieces:
-            if ids := self.old.get(p):
-                self.known[p] = ids
+    def learn(self) -> None:
+        """Give the new pieces of known their ids."""
+        words = [p for p in self.known.new if p.isalpha()]
+        others = [p for p in self.known.new if not p.isalpha()]
+        marked = " " + "\n ".join(words)
+        for pieces, by, text in ((words, self.of_words, marked.encode().decode("latin-1").translate(SIGNS)), (others, self.tokenizer, " " + " ".join(others))):
+            if pieces:
+                ids = np.array(by.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+                ends = np.searchsorted(np.cumsum(self.bytes_of[ids]), np.cumsum([1 + len(p.encode()) for p in pieces])) + 1
+                raw, at = ids.tobytes(), 0
+                for p, end in zip(pieces, (4 * ends).tolist(), strict=True):
+                    self.known[p], at = raw[at:end], end
+        self.known.new.clear()
+
+    def encode(self, texts: list[str | None]) -> list[bytes]:
+        """Little-endian unsigned 32-bit ids of each text, with the end id."""
+        out, cut = [self.end] * len(texts), []
+        self.known.age()
+        look_up = self.known.__getitem__
+        for i, text in enumerate(texts):
+            if not text:
+                continue
+            head, gap, rest = text.partition(" ")
+            if not gap or text[0].isspace() or text[-1].isspace() or crowded(text) or any(x in text for x in self.special):
+                out[i] = self.whole(text) + self.end
             else:
-                new.append(p)
-        if new:
-            ids = np.array(self.tokenizer.encode_batch_fast(["".join(new)], add_special_tokens=False)[0].ids, "<u4")
-            ends = np.searchsorted(np.cumsum(self.bytes_of[ids]), np.cumsum([len(p.encode()) for p in new])) + 1
-            raw, at = ids.tobytes(), 0
-            for p, end in zip(new, (4 * ends).tolist(), strict=True):
-                self.known[p], at = raw[at:end], end
+                pieces = rest.split(" ")
+                ids = list(map(look_up, pieces))
+                # Places of pieces that are not learnt yet hold nothing.
+                cut.append((i, head, pieces, ids if all(ids) else None))
+        self.learn()
+        for i, head, pieces, ids in cut:
+            out[i] = b"".join([self.whole(head), *(ids or map(look_up, pieces)), self.end])
+        return out
+
+
+def crowded(text: str) -> bool:
+    """Whether a space stands beside other white space."""
+    if "  " in text or any(g in text and (f" {g}" in text or f"{g} " in text) for g in "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f"):
         return True
+    return not text.isascii() and WIDE_GAP.search(text) is not None
+
+
+def encoded(encoder: PieceEncoder, texts: pa.Array) -> Iterator[bytes]:
+    """The ids of each text, a few texts at a time."""
+    held, size = [], 0
+    for text in texts:
+        held.append(text.as_py())
+        size += len(held[-1] or "")
+        if size >= TOGETHER:
+            yield from encoder.encode(held)
+            held, size = [], 0
+    yield from encoder.encode(held)
+
 
-    def encode(self, text: str | None) -> bytes:
-        """Little-endian unsigned 32-bit ids with the end id."""
-        if not text:
-            return self.end
-        if text[0] == " " or text[-1] == " " or "  " in text or any(x in text for x in self.special):
-            return self.whole(text) + self.end
-        if len(self.known) > self.cache:
-            self.known, self.old = {}, self.known
-        head, gap, rest = text.partition(" ")
-        pieces = [" " + x for x in rest.split(" ")] if gap else []
-        if head[-1].isspace() or (new := list(set(pieces).difference(self.known))) and not self.learn(new):
-            return self.whole(text) + self.end
-        return b"".join([self.whole(head), *map(self.known.__getitem__, pieces), self.end])
-
-
-@cache
 def piece_encoder(path: str, end_id: int) -> PieceEncoder:
     """One for all tasks of a worker: what it has learnt stays."""
-    return PieceEncoder(path, end_id)
+    return kept(("pieces", path, end_id), lambda: PieceEncoder(path, end_id))
 
 
 def to_planes(ids: np.ndarray, width: int, block_ids: int, press: zstandard.ZstdCompressor) -> list[bytes]:
@@ -142,8 +197,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int, width:
             return pa.RecordBatch.from_pylist([row], schema=CHUNK_ARROW)
 
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = encoder.encode(text.as_py())
+            for doc_id, ids in zip(batch.column(0).to_pylist(), encoded(encoder, batch.column(1)), strict=True):
                 if parts and held + len(ids) // 4 > chunk_ids:
                     yield flush()
                     chunk, first, names, parts, held = chunk + 1, first + held, [], [], 0
@@ -186,15 +240,38 @@ def read_tokens(spark: SparkSession, path: str, with_ids: bool = True) -> DataFr
                 yield pa.RecordBatch.from_arrays(columns, schema=arrow)
 
     chunks = spark.read.schema(CHUNK_SCHEMA).parquet(f"{path}/chunks")
-    # One row a shard: a bounded number, whatever the corpus.
-    shards = spark.read.parquet(f"{path}/index").groupBy("shard").agg(F.sum("n_ids").alias("n"))
-    before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = shards.select("shard", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
-    found = chunks.mapInArrow(decode, schema).join(F.broadcast(offsets), "shard")
+    found = chunks.mapInArrow(decode, schema).join(F.broadcast(shard_offsets(spark, path)), "shard")
     out = ["doc_id", (F.col("offset") + F.col("local_start")).alias("start"), "n_tokens", "ids_crc32"]
     return found.select(*out, *["ids"] * with_ids)
 
 
+def shard_offsets(spark: SparkSession, path: str) -> DataFrame:
+    """(shard, offset): the ids before each shard, by the index. One row a shard: a bounded number,
+    whatever the corpus."""
+    shards = spark.read.parquet(f"{path}/index").groupBy("shard").agg(F.sum("n_ids").alias("n"))
+    before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
+    return shards.select("shard", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
+
+
+def read_range(spark: SparkSession, path: str, start: int, n: int) -> DataFrame:
+    """(start, ids): the ids from place `start` on, n at most, one row for each chunk that has some of
+    them. The index tells these chunks; no other one is decoded."""
+    index = spark.read.parquet(f"{path}/index").join(F.broadcast(shard_offsets(spark, path)), "shard")
+    first = F.col("offset") + F.col("first_id")
+    hit = index.select("shard", "chunk", first.alias("start"), "n_ids").where((F.col("start") < start + n) & (F.col("start") + F.col("n_ids") > start))
+
+    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        expand = zstandard.ZstdDecompressor()
+        for batch in batches:
+            for row in batch.to_pylist():
+                ids = from_planes(row["planes"], row["n_ids"], row["width"], row["block_ids"], expand)
+                a, b = max(start - row["start"], 0), min(start + n - row["start"], row["n_ids"])
+                yield pa.RecordBatch.from_arrays([pa.array([row["start"] + a], pa.int64()), pa.array([ids[a:b].astype(np.int64)], pa.list_(pa.int64()))], names=["start", "ids"])
+
+    chunks = spark.read.schema(CHUNK_SCHEMA).parquet(f"{path}/chunks").join(hit.drop("n_ids"), ["shard", "chunk"])
+    return chunks.select("start", "n_ids", "width", "block_ids", "planes").mapInArrow(decode, "start long, ids array<long>")
+
+
 def op1_token_planes(spark: SparkSession, docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
     """Write docs as token files in the shared folder, read them back, and return the digests."""
     if tokenizer is None:
