@@ -7,11 +7,11 @@
    are as long as lets a pair at the threshold be missed at most once in 1 / MISSED times.
 3. Inside a group, pairs are compared by sketch; those that the sketch does not rule out (by 5
    standard deviations) and that are not yet connected are confirmed on the full sets. A group of
-   more than BLOCK classes is dealt into blocks of that size, so no task holds more than two
-   blocks: first each block by itself, then each block with the first one, and last the classes
-   outside the group's largest component with every block. Only links that connect something
-   leave a task, so their number is below that of the classes.
-4. Components of the links give each document the smallest doc_id that it reaches.
+   at most BLOCK classes is done in one task. A larger one is dealt into blocks: first each block
+   by itself, then each block with the first one, and last the classes outside the group's largest
+   component with every block, so the rows of this last step grow with the product of a group's
+   blocks and the classes outside its largest component. Only what connects parts leaves a task.
+4. A class is named by its least doc_id first, so the least class of a component names it.
 
 Defined results: without words (null, empty, white space) a document has the empty set and is
 linked with nothing; fewer words than a shingle make one shingle of all of them; exact repetitions
@@ -27,13 +27,15 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fiscora.llm.common import partitions, written
-from fiscora.llm.components import components
+from fiscora.llm.common import kept, partitions, written
+from fiscora.llm.components import components, stars
 
-SAMPLES, BITS, BLOCK = 256, 1024, 512
+SAMPLES, BITS = 256, 1024
+#: The most classes of a block, and the bytes of their sets on average.
+BLOCK, BLOCK_BYTES = 512, 8 << 20
 #: The most that a pair at the threshold may be missed by all bands.
 MISSED = 1e-5
 BUFFER = 1 << 20
@@ -61,9 +63,12 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[32, *range(9, 14)]] = True
 
 
-@cache
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of an odd base and of its inverse, modulo 2^64."""
+    return kept(("powers", n), lambda: _made_powers(n))
+
+
+def _made_powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     base = 0x9E3779B97F4A7C15
     out = []
     for x in (base, pow(base, -1, 2**64)):
@@ -180,15 +185,17 @@ class Linker:
         self.sets = [np.frombuffer(r["shingles"], np.uint64) for r in rows]
         self.sizes = np.array([len(s) for s in self.sets])
         names: dict[bytes, int] = {}
-        self.part = np.array([names.setdefault(r["part"], len(names)) for r in rows])
+        self.given = np.array([names.setdefault(r["part"], len(names)) for r in rows])
+        self.names, self.part = list(names), self.given.copy()
         self.limit = sketch_limit(percent / 100)
 
     def similar(self, i: int, j: int) -> bool:
         both = len(np.intersect1d(self.sets[i], self.sets[j], assume_unique=True))
         return 100 * both >= self.percent * (self.sizes[i] + self.sizes[j] - both)
 
-    def links(self) -> Iterator[tuple[bytes, bytes]]:
-        """Where rows have sides 0 and 1, pairs stand across; otherwise all pairs count."""
+    def connect(self) -> dict[bytes, bytes]:
+        """Each given part that got connected, and the least part that it is connected with. Where
+        rows have sides 0 and 1, pairs stand across; otherwise all pairs count."""
         side = np.array([r["side"] for r in self.rows])
         two = len(set(side.tolist())) > 1
         for i in range(len(self.rows)):
@@ -200,75 +207,100 @@ class Linker:
             for j in others[keep][np.argsort(apart[keep], kind="stable")].tolist():
                 if self.part[j] != self.part[i] and self.similar(i, j):
                     self.part[self.part == self.part[j]] = self.part[i]
-                    yield self.rows[i]["fp"], self.rows[j]["fp"]
+        least: dict[int, bytes] = {}
+        now = dict(zip(self.given.tolist(), self.part.tolist(), strict=True))
+        for given, part in now.items():
+            least[part] = min(least.get(part, self.names[given]), self.names[given])
+        return {self.names[g]: least[p] for g, p in now.items() if least[p] != self.names[g]}
 
 
-def confirmed(dealt: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) found in each task of dealt (task, side, fp, part, sketch, shingles)."""
-    rows = dealt.repartition(partitions(dealt.sparkSession), "task").sortWithinPartitions("task", "fp")
+def connected(dealt: DataFrame, percent: int) -> DataFrame:
+    """(a, b): part a is connected with part b < a, as each task of dealt (task, side, part, sketch,
+    shingles) finds. A task has two blocks at most; its rows are held one task at a time."""
+    rows = dealt.repartition(partitions(dealt.sparkSession), "task").sortWithinPartitions("task")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[dict] = []
+        task = None
 
         def done() -> pa.RecordBatch:
-            found = list(Linker(held, percent).links())
-            return pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.binary()), pa.array([y for _, y in found], pa.binary())], names=["a", "b"])
+            found = Linker(held, percent).connect()
+            return pa.RecordBatch.from_arrays([pa.array(found.keys(), pa.binary()), pa.array(found.values(), pa.binary())], names=["a", "b"])
 
         for batch in batches:
-            for row in batch.to_pylist():
-                if held and held[0]["task"] != row["task"]:
+            for at in range(batch.num_rows):
+                own = batch.column(0)[at].as_py()
+                if held and own != task:
                     yield done()
                     held = []
-                held.append(row)
+                task = own
+                held.append({n: batch.column(k)[at].as_py() for k, n in enumerate(batch.schema.names) if k})
         if held:
             yield done()
 
-    return rows.select("task", "side", "fp", "part", "sketch", "shingles").mapInArrow(run, "a binary, b binary")
+    return rows.select("task", "side", "part", "sketch", "shingles").mapInArrow(run, "a binary, b binary")
+
+
+def _task(grp: str, i: Column, j: Column) -> Column:
+    return F.xxhash64(grp, i.cast("long"), j.cast("long")).alias("task")
+
+
+def node_of(rep: Column, fp: Column) -> Column:
+    """Bytes that name a class, in the order of its least doc_id (a missing one is the largest)."""
+    place = F.lpad(F.hex(rep.bitwiseXOR(F.lit(-(2**63)))), 16, "0")
+    return F.concat(F.unhex(F.when(rep.isNull(), F.lit("01" + "0" * 16)).otherwise(F.concat(F.lit("00"), place))), fp)
+
+
+def rep_of(node: Column) -> Column:
+    """The doc_id that node_of() was given."""
+    value = F.conv(F.hex(F.substring(node, 2, 8)), 16, -10).cast("long").bitwiseXOR(F.lit(-(2**63)))
+    return F.when(F.hex(F.substring(node, 1, 1)) == "00", value)
 
 
 def near_duplicates(docs: DataFrame, k: int = 3, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row of docs."""
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     features = written(set_features(docs, k, percent), "features")
-    classes = features.where("n_shingles > 0").groupBy("fp").agg(F.min("doc_id").alias("rep"), F.first("sketch").alias("sketch"), F.first("bands").alias("bands"))
-    classes = written(classes, "classes")
-    banded = classes.select("fp", F.explode("bands").alias("band"))
-    hubs = banded.groupBy("band").agg(F.min("fp").alias("hub"), F.max("fp").alias("last")).where("hub < last").select("band", "hub")
-    pairs = banded.join(hubs, "band").where("fp <> hub").select(F.col("fp").alias("a"), F.col("hub").alias("b")).distinct()
-    groups = components(pairs)
-    members = groups.join(classes.select("fp", "rep", "sketch"), groups["node"] == classes["fp"]).select("fp", "rep", "sketch", F.col("component").alias("grp"))
-    sizes = members.groupBy("grp").agg(F.count("*").alias("size"))
-    members = written(members.join(sizes, "grp").withColumn("blocks", F.ceil(F.col("size") / BLOCK)).withColumn("block", F.pmod(F.xxhash64("fp"), F.col("blocks"))), "members")
+    classes = features.where("n_shingles > 0").groupBy("fp").agg(F.min("doc_id").alias("rep"), F.first("sketch").alias("sketch"), F.first("bands").alias("bands"), F.first("n_shingles").alias("n"))
+    classes = written(classes.withColumn("node", node_of(F.col("rep"), F.col("fp"))), "classes")
+    banded = classes.select("node", F.explode("bands").alias("band"))
+    hubs = written(banded.groupBy("band").agg(F.min("node").alias("hub"), F.max("node").alias("last")).where("hub < last").select("band", "hub"), "hubs")
+    groups = components(banded.join(hubs, "band").where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b"))).withColumnRenamed("component", "grp")
+    members = written(groups.join(classes.select("node", "fp", "rep", "sketch", "n"), "node"), "members")
+    blocks = F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n") * 8 / BLOCK_BYTES)).alias("blocks")
+    sizes = written(members.groupBy("grp").agg(blocks), "sizes")
+    members = members.join(sizes, "grp").select("node", "fp", "rep", "sketch", "grp", "blocks", F.pmod(F.xxhash64("fp"), F.col("blocks")).alias("block"))
     sets = written(_with_sets(docs, members, k), "sets")
 
-    grouped = F.struct("grp", F.lit(-1).cast("long").alias("i"), F.col("block").alias("j")).alias("task")
-    links = written(confirmed(sets.select(grouped, F.lit(0).alias("side"), "fp", F.col("fp").alias("part"), "sketch", "shingles"), percent), "links")
+    none = F.lit(0)
+    alone = sets.select(_task("grp", F.lit(-1), F.col("block")), none.alias("side"), F.col("node").alias("part"), "sketch", "shingles")
+    roots = written(connected(alone, percent), "roots")
+    named = sets.select("node").join(roots, F.col("node") == F.col("a"), "left").select("node", F.coalesce("b", "node").alias("part"))
     large = sets.where("blocks > 1")
     if large.limit(1).count():
-        parted = _parted(large, components(links))
-        first = parted.where("block = 0").select(F.explode(F.expr("sequence(1, blocks - 1)")).alias("j"), F.lit(0).alias("side"), "*")
-        rest = parted.where("block > 0").select(F.col("block").alias("j"), F.lit(1).alias("side"), "*")
-        dealt = first.unionByName(rest).select(F.struct("grp", F.lit(-1).cast("long").alias("i"), "j").alias("task"), "side", "fp", "part", "sketch", "shingles")
-        links = written(links.unionByName(confirmed(dealt, percent)), "links")
-        parted = written(_parted(large, components(links)), "parted")
-        most = parted.groupBy("grp", "part").count().groupBy("grp").agg(F.max(F.struct("count", "part")).alias("m"), (F.sum("count") - F.max("count")).alias("outside")).select("grp", F.col("m.part").alias("main"), F.ceil(F.col("outside") / BLOCK).alias("outer"))
-        parted = parted.join(most, "grp").where("outer > 0")
-        outer = parted.where("part <> main").select(F.pmod(F.xxhash64("fp"), F.col("outer")).alias("i"), F.explode(F.expr("sequence(0, blocks - 1)")).alias("j"), F.lit(0).alias("side"), "*")
-        every = parted.select(F.explode(F.expr("sequence(0, outer - 1)")).alias("i"), F.col("block").alias("j"), F.lit(1).alias("side"), "*")
-        dealt = outer.unionByName(every).select(F.struct("grp", "i", "j").alias("task"), "side", "fp", "part", "sketch", "shingles")
-        links = written(links.unionByName(confirmed(dealt, percent)), "links")
-
-    found = components(links).join(classes.select("fp", "rep"), F.col("node") == F.col("fp"))
-    least = found.groupBy("component").agg(F.min("rep").alias("component_id"))
-    joined = classes.select("fp", "rep").join(found.join(least, "component").select("fp", "component_id"), "fp", "left")
-    named = joined.select(F.col("fp").alias("class"), F.coalesce("component_id", "rep").alias("component_id"))
-    out = features.select("doc_id", "n_shingles", "fp").join(named, F.col("fp") == F.col("class"), "left")
+        large = written(large.join(roots, F.col("node") == F.col("a"), "left").withColumn("part", F.coalesce("b", "node")).drop("a", "b"), "large")
+        first = large.where("block = 0").select(F.explode(F.expr("sequence(1, blocks - 1)")).alias("j"), none.alias("side"), "grp", "part", "sketch", "shingles")
+        rest = large.where("block > 0").select(F.col("block").alias("j"), F.lit(1).alias("side"), "grp", "part", "sketch", "shingles")
+        found = stars(connected(first.unionByName(rest).select(_task("grp", F.lit(-1), F.col("j")), "side", "part", "sketch", "shingles"), percent))
+        named, large = _joined(named, found), written(_joined(large, found), "parted")
+        most = large.groupBy("grp", "part").count().groupBy("grp").agg(F.max(F.struct("count", "part")).alias("m"), (F.sum("count") - F.max("count")).alias("outside"))
+        most = written(most.where("outside > 0").select("grp", F.col("m.part").alias("main"), F.ceil(F.col("outside") / BLOCK).alias("outer")), "most")
+        if most.limit(1).count():
+            large = large.join(most, "grp")
+            outer = large.where("part <> main").select(F.pmod(F.xxhash64("fp"), F.col("outer")).alias("i"), F.explode(F.expr("sequence(0, blocks - 1)")).alias("j"), none.alias("side"), "grp", "part", "sketch", "shingles")
+            every = large.select(F.explode(F.expr("sequence(0, outer - 1)")).alias("i"), F.col("block").alias("j"), F.lit(1).alias("side"), "grp", "part", "sketch", "shingles")
+            dealt = outer.unionByName(every).select(_task("grp", F.col("i"), F.col("j")), "side", "part", "sketch", "shingles")
+            named = _joined(named, stars(connected(dealt, percent)))
+
+    named = classes.select("node", F.col("fp").alias("class")).join(named, "node", "left").select("class", rep_of(F.coalesce("part", "node")).alias("component_id"))
+    out = features.select("doc_id", "n_shingles", "fp").join(written(named, "named"), F.col("fp") == F.col("class"), "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
-def _parted(rows: DataFrame, found: DataFrame) -> DataFrame:
-    """rows with the component of each fp."""
-    return rows.join(found, rows["fp"] == found["node"], "left").select(*rows.columns, F.coalesce("component", "fp").alias("part"))
+def _joined(rows: DataFrame, found: DataFrame) -> DataFrame:
+    """rows with their parts replaced by what stars() has found these to be in."""
+    found = found.select(F.col("node").alias("_node"), "component")
+    return rows.join(found, F.col("part") == F.col("_node"), "left").withColumn("part", F.coalesce("component", "part")).select(*rows.columns)
 
 
 def _with_sets(docs: DataFrame, members: DataFrame, k: int) -> DataFrame:
