@@ -3,7 +3,8 @@
 encode_media() stores bytes losslessly as an image: each 64 bytes are the 64 quantised coefficients
 of a block (as signed numbers, in zigzag order, all quantisers 1), which is the format's own unit;
 the number of bytes stands in a comment. decode_media() reads files of that or any other progressive
-JPEG: coefficients by accumulating the scans, then full-resolution RGB tensors.
+JPEG: coefficients by accumulating the scans, then full-resolution RGB tensors. Both columns are
+stored as tables in the shared folder, files first and then the tensors that were read from them.
 
 Defined results: null and empty texts are stored as one block of zeros; equal texts have equal
 files and features, whatever they are batched with; other columns are not read.
@@ -21,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fiscora.llm.common import written
 from fiscora.llm.progressive_jpeg import Image, decode, encode, rgb
 
 #: Bytes that are encoded or decoded together (a longer text alone).
@@ -116,4 +118,7 @@ def feature(tensor: np.ndarray) -> str:
 
 
 def op4_jpeg_media(docs: DataFrame) -> DataFrame:
-    return decode_media(encode_media(docs), tensors=False)
+    """Store docs as a table of files, read these back and store what they decode to as a table of
+    tensors; the digests are read from that one."""
+    media = written(encode_media(docs), "media")
+    return written(decode_media(media), "tensors").drop("tensor")
