@@ -3,7 +3,8 @@
 compile_rules() parses each rule, joins them in one nondeterministic automaton (Thompson's
 construction), makes it deterministic by subset construction over byte classes and minimises it by
 partition refinement. The result is a set of arrays: byte -> class, (state, class) -> state, and
-state -> bit mask of the rules that end there. Search is unanchored: any start is tried.
+state -> bit mask of the rules that end there. Search is unanchored, so that any start is tried,
+unless an anchored automaton is asked for; a backward one reads rules and text from their ends.
 
 Syntax of rules: literals, \\xHH and other escapes, [classes], (groups), |, ?, *, +, {m}, {m,n}
 and {m,} (n copies and a loop). Letters match either case in a group that begins with (?i: .
@@ -12,6 +13,7 @@ and {m,} (n copies and a loop). Letters match either case in a group that begins
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 
@@ -26,11 +28,24 @@ class Automaton:
     n_classes: int
     first_accepting: int  # premultiplied; all accepting states come last
     masks: np.ndarray  # int64[states]
+    start: int = 0  # premultiplied; 0 unless the start accepts
+
+    @cached_property
+    def lists(self) -> tuple[list[int], list[int]]:
+        return self.table.tolist(), self.classes.tolist()
+
+    @cached_property
+    def dead(self) -> int:
+        """The state that nothing leaves and no rule ends in, or -1."""
+        rows = self.table.reshape(-1, self.n_classes)
+        own = np.arange(len(rows)) * self.n_classes
+        found = np.flatnonzero((rows == own[:, None]).all(1) & (self.masks == 0))
+        return int(found[0]) * self.n_classes if len(found) else -1
 
 
 class _Parser:
-    def __init__(self, text: str, nfa: list[list[tuple[frozenset[int] | None, int]]]):
-        self.s, self.i, self.nfa = text, 0, nfa
+    def __init__(self, text: str, nfa: list[list[tuple[frozenset[int] | None, int]]], backward: bool = False):
+        self.s, self.i, self.nfa, self.backward = text, 0, nfa, backward
 
     def state(self) -> int:
         self.nfa.append([])
@@ -111,7 +126,7 @@ class _Parser:
             self.nfa[start].append((node[1], end))
             return end
         if kind == "then":
-            for part in node[1]:
+            for part in reversed(node[1]) if self.backward else node[1]:
                 start = self.build(part, start)
             return start
         if kind == "or":
@@ -138,11 +153,11 @@ class _Parser:
         return end
 
 
-def compile_rules(rules: list[str], max_states: int = 60_000) -> Automaton:
+def compile_rules(rules: list[str], max_states: int = 60_000, anchored: bool = False, backward: bool = False) -> Automaton:
     nfa: list[list[tuple[frozenset[int] | None, int]]] = [[]]
     ends = {}
     for k, rule in enumerate(rules):
-        parser = _Parser(rule, nfa)
+        parser = _Parser(rule, nfa, backward)
         begin = parser.state()
         nfa[0].append((None, begin))
         ends[parser.build(parser.alternatives(False), begin)] = 1 << k
@@ -167,13 +182,14 @@ def compile_rules(rules: list[str], max_states: int = 60_000) -> Automaton:
         return frozenset(seen)
 
     origin = closure([0])
+    again = frozenset() if anchored else origin
     number, todo, table = {origin: 0}, [origin], []
     for states in todo:
         moves: dict[int, set[int]] = {}
         row = []
         for c, b in enumerate(samples):
             moves[c] = set() if b == SEPARATOR else {to for s in states for edge, to in nfa[s] if edge and b in edge}
-            into = closure(moves[c]) | origin if moves[c] else origin
+            into = closure(moves[c]) | again if moves[c] else again
             if into not in number:
                 if len(number) >= max_states:
                     raise ValueError(f"the rules need more than {max_states} states")
@@ -194,12 +210,12 @@ def _minimal(table: np.ndarray, masks: np.ndarray, classes: np.ndarray, n_classe
             break
         block = seen
     _, one = np.unique(block, return_index=True)
-    # Accepting states last, the start first.
+    # Accepting states last, and the start first of its kind.
     rank = np.lexsort((np.arange(len(one)), np.arange(len(one)) != block[0], masks[one] != 0))
     place = np.argsort(rank)
     small = place[block[table[one[rank]]]]
     kept = masks[one[rank]]
-    return Automaton(classes, (small * n_classes).astype(np.int32).reshape(-1), n_classes, int((kept == 0).sum()) * n_classes, kept)
+    return Automaton(classes, (small * n_classes).astype(np.int32).reshape(-1), n_classes, int((kept == 0).sum()) * n_classes, kept, int(place[block[0]]) * n_classes)
 
 
 def scan(automaton: Automaton, data: bytes, lane: int = 512) -> tuple[np.ndarray, np.ndarray]:
@@ -239,3 +255,19 @@ def scan(automaton: Automaton, data: bytes, lane: int = 512) -> tuple[np.ndarray
     places = lanes.astype(np.int64) * lane + at
     order = np.argsort(places)
     return places[order] + 1, automaton.masks[states[at, lanes] // automaton.n_classes][order]
+
+
+def farthest(automaton: Automaton, data: bytes, at: int, stop: int) -> int | None:
+    """Where an anchored automaton that starts at `at` accepts last on its way to `stop` (a backward
+    one goes down to it); None if it never does."""
+    (table, classes), first, dead = automaton.lists, automaton.first_accepting, automaton.dead
+    state = automaton.start
+    found = at if state >= first else None
+    back = stop < at
+    for i in range(at - 1, stop - 1, -1) if back else range(at, stop):
+        state = table[state + classes[data[i]]]
+        if state >= first:
+            found = i if back else i + 1
+        elif state == dead:
+            break
+    return found

@@ -1,9 +1,10 @@
 """Secret scan by one deterministic automaton for all rules.
 
-The rules are compiled once on the driver (automaton.py) and sent to the executors as arrays of
-fixed size. Every text is read once, byte by byte, by that automaton, many lanes at a time; it says
-where which rules end. For a text and rule that it reports, the rule's exact expression gives the
-spans in code points, leftmost and not overlapping within a kind.
+A rule is a head, which ends at one place, and a tail, which goes on as far as it can. The heads of
+all rules are compiled once on the driver (automaton.py) into one automaton, which reads every text
+once, byte by byte, many lanes at a time, and says where which heads end. From each such place the
+backward automaton of the rule's head finds the earliest start, and the automaton of its tail the
+end. So spans are leftmost and do not overlap within a kind; they are told in code points.
 
 Defined results: a null or empty text has no spans; rows are judged one by one, so repeated rows
 and repeated ids keep their own results; other columns are not read.
@@ -11,7 +12,7 @@ and repeated ids keep their own results; other columns are not read.
 
 from __future__ import annotations
 
-import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cache
@@ -21,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fiscora.llm.automaton import Automaton, compile_rules, scan
+from fiscora.llm.automaton import Automaton, compile_rules, farthest, scan
 
 #: Bytes of text that are scanned together.
 BUFFER = 4 << 20
@@ -30,42 +31,40 @@ BUFFER = 4 << 20
 @dataclass(frozen=True)
 class Rule:
     kind: str
-    found: str  # what the automaton looks for: it ends in every text that has such a span
-    exact: str
-    group: int = 0  # this group must have at least `least` characters
-    least: int = 0
+    head: str
+    tail: str
+    least: int = 0  # characters that the tail must have
+    takes: bool = False  # a match with too short a tail takes its characters from later ones
 
 
 #: The base kinds first, in their listed order.
 BASE = ("assign", "access", "hex")
 RULES = (
-    Rule("assign", r"(?i:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?[A-Za-z0-9+/_.=-]{12}", r"((?i:password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", 2, 12),
-    Rule("access", r"AKIA[A-Z0-9]{14}", r"AKIA[A-Z0-9]+", 0, 18),
-    Rule("hex", r"[0-9a-f]{16}", r"[0-9a-f]{16,}", 0, 16),
-    Rule("private_key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----", r"-----BEGIN [A-Z ]*PRIVATE KEY-----(?:[A-Za-z0-9+/=\s]*-----END [A-Z ]*PRIVATE KEY-----)?"),
-    Rule("forge_token", r"gh[pousr]_[A-Za-z0-9]", r"gh[pousr]_[A-Za-z0-9]{36,}"),
-    Rule("chat_token", r"xox[abprs]-[0-9A-Za-z]", r"xox[abprs]-[0-9A-Za-z-]{10,}"),
-    Rule("map_key", r"AIza[0-9A-Za-z_-]", r"AIza[0-9A-Za-z_-]{35,}"),
-    Rule("web_token", r"eyJ[A-Za-z0-9_-]", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}(?:\.[A-Za-z0-9_-]*)?"),
+    Rule("assign", r"(?i:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?[A-Za-z0-9+/_.=-]", r"[A-Za-z0-9+/_.=-]*", 11, True),
+    Rule("access", r"AKIA[A-Z0-9]", r"[A-Z0-9]*", 13, True),
+    Rule("hex", r"[0-9a-f]{16}", r"[0-9a-f]*"),
+    Rule("private_key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----", r"([A-Za-z0-9+/=\x20\x09\x0a\x0d]*-----END [A-Z ]*PRIVATE KEY-----)?"),
+    Rule("forge_token", r"gh[pousr]_[A-Za-z0-9]", r"[A-Za-z0-9]*", 35),
+    Rule("chat_token", r"xox[abprs]-[0-9A-Za-z-]", r"[0-9A-Za-z-]*", 9),
+    Rule("map_key", r"AIza[0-9A-Za-z_-]", r"[0-9A-Za-z_-]*", 34),
+    Rule("web_token", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8}", r"[A-Za-z0-9_-]*(\.[A-Za-z0-9_-]*)?"),
 )
 
 
-def exact_spans(text: str, rules: list[tuple[int, Rule, re.Pattern]]) -> list[tuple[int, int, int]]:
-    """(start, rule number, end) of the spans of rules in text, by start and rule."""
-    return sorted((m.start(), k, m.end()) for k, rule, pattern in rules for m in pattern.finditer(text) if len(m[rule.group]) >= rule.least)
-
-
 @cache
-def compiled(found: tuple[str, ...]) -> Automaton:
-    return compile_rules(list(found))
+def compiled(rules: tuple[Rule, ...]) -> tuple[Automaton, list[Automaton], list[Automaton]]:
+    """The automaton of all heads, and each rule's backward one of its head and that of its tail."""
+    starts = [compile_rules([r.head], anchored=True, backward=True) for r in rules]
+    return compile_rules([r.head for r in rules]), starts, [compile_rules([r.tail], anchored=True) for r in rules]
 
 
 class Scanner:
-    def __init__(self, automaton: Automaton, rules: tuple[Rule, ...]):
-        self.automaton = automaton
-        self.rules = [(k, r, re.compile(r.exact, re.ASCII)) for k, r in enumerate(rules)]
+    def __init__(self, automata: tuple[Automaton, list[Automaton], list[Automaton]], rules: tuple[Rule, ...]):
+        self.heads, self.starts, self.tails = automata
+        self.rules = rules
 
     def spans(self, texts: list[bytes | None]) -> list[list[tuple[int, int, int]]]:
+        """(start, rule number, end) of all spans of each text, by start and rule."""
         found: list[list[tuple[int, int, int]]] = [[] for _ in texts]
         held, size = [], 0
         for i, text in enumerate(texts):
@@ -79,26 +78,51 @@ class Scanner:
 
     def fill(self, texts: list[bytes | None], held: list[int], found: list) -> None:
         data = b"\xff".join([texts[i] for i in held])
-        ends, masks = scan(self.automaton, data)
+        ends, masks = scan(self.heads, data)
         if not len(ends):
             return
         starts = np.cumsum([0] + [len(texts[i]) + 1 for i in held[:-1]])
         own = np.searchsorted(starts, ends - 1, "right") - 1
-        order = np.argsort(own, kind="stable")
-        own, masks = own[order], masks[order]
         first = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
-        for at, mask in zip(own[first].tolist(), np.bitwise_or.reduceat(masks, first).tolist(), strict=True):
-            text = texts[held[at]].decode()
-            found[held[at]] = exact_spans(text, [r for r in self.rules if mask >> r[0] & 1])
+        for a, b in zip(first.tolist(), [*first[1:].tolist(), len(own)], strict=True):
+            text = texts[held[own[a]]]
+            spans = []
+            for k in range(len(self.rules)):
+                if len(at := ends[a:b][masks[a:b] >> k & 1 > 0]):
+                    spans += self.of_rule(k, text, (at - starts[own[a]]).tolist())
+            if spans and not text.isascii():
+                # Bytes that begin a character, up to each place.
+                begun = np.append(0, np.cumsum(np.frombuffer(text, np.int8) >= -64))
+                spans = [(int(begun[x]), k, int(begun[y])) for x, k, y in spans]
+            found[held[own[a]]] = sorted(spans)
+
+    def of_rule(self, k: int, text: bytes, ends: list[int]) -> list[tuple[int, int, int]]:
+        """Spans of a rule whose head ends at these places, in bytes."""
+        rule, taken, i, out = self.rules[k], 0, 0, []
+        while i < len(ends):
+            start = farthest(self.starts[k], text, ends[i], taken)
+            if start is None:
+                i += 1
+                continue
+            end = farthest(self.tails[k], text, ends[i], len(text))
+            long_enough = end - ends[i] >= rule.least
+            if long_enough:
+                out.append((start, k, end))
+            if long_enough or rule.takes:
+                taken = end
+                i = bisect_right(ends, end, i + 1)
+            else:
+                i += 1
+        return out
 
 
 def find_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, found array<struct<kind, start, end>>) for every row, by start and then kind."""
-    automaton = compiled(tuple(r.found for r in rules))
+    automata = compiled(tuple(rules))
     kinds = [r.kind for r in rules]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scanner = Scanner(automaton, rules)
+        scanner = Scanner(automata, rules)
         for batch in batches:
             spans = scanner.spans(batch.column(1).cast(pa.binary()).to_pylist())
             rows = [[{"kind": kinds[k], "start": a, "end": b} for a, k, b in s] for s in spans]
