@@ -8,8 +8,10 @@ corpus. The restored terms are scored by a logistic model.
 
 What is learnt: trigram counts from all documents; document frequencies of restored terms from all
 labelled training rows; the weights of all terms that pass the test of telling_terms, however many,
-from at most FIT_ROWS of these rows, taken by the order of a hash of the id (a bounded sample, as the parameters say). Rows held
-out by the caller are never learnt from. Scores use the text alone.
+from FIT_ROWS of these rows (but for the chance of a hash), taken by a hash of their numbers, so
+that repeated rows count one by one (a bounded sample, as the parameters say). Labelled rows are joined by one plan at every size, and
+stored; no other text is shuffled twice. Rows held out by the caller are never learnt from. Scores
+use the text alone.
 
 Defined results: null and empty texts have no terms and get the model's base rate; without any
 labels, or with labels of one kind only, all scores are that kind's share (0 without labels);
@@ -21,20 +23,17 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Callable, Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fiscora.llm.common import if_small
+from fiscora.llm.common import kept, written
 
 #: Labelled rows that fit the model, and readings kept for each pair of last letters.
 FIT_ROWS, READINGS = 60_000, 6
 THRESHOLD = 0.7
-#: Labels (an id and a number each) up to which they are broadcast.
-LABELS = 500_000
 #: Characters whose trigrams are counted at once.
 PIECE = 1 << 18
 LETTERS = "abcdefghijklmnopqrstuvwxyz"
@@ -43,9 +42,13 @@ LOOKS = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g",
 #: Costs in nats: reading a look-alike, dropping a separator, reading a letter again as drawn out.
 SWAP, DROP, AGAIN = 1.0, 1.0, 0.5
 
+#: What marks a run of single characters among tokens, and the characters of a token that are read
+#: at once; parts of a longer one overlap by half.
+RUN, PART = " ", 64
 #: Accented and foreign look-alikes of one letter, as a translation.
 FOLD = {ord(c): x for c, x in LOOKS.items() if c.isalpha()}
 
+DOUBLED = re.compile(r"([^\W\d_])\1+")
 SPELT = re.compile(r"(?<!\S)[^\s](?:[ \t]{1,3}[^\s]){2,}(?!\S)")
 DRAWN = re.compile(r"([^\W\d_])\1\1")
 ENDS = re.compile(r"^[\W_]+|[\W_]+$")
@@ -99,30 +102,51 @@ class Model:
         return [word for _, word in ended[: 4 * READINGS]]
 
 
+def parts(token: str) -> list[str]:
+    return [token[a : a + PART] for a in range(0, max(len(token) - PART // 2, 1), PART // 2)]
+
+
 class Restorer:
     """Restored terms of texts. known: terms that win over likelier readings outside of them."""
 
     def __init__(self, counts: np.ndarray, known: frozenset[str] = frozenset(), cache: int = 80_000):
         self.model, self.known, self.cache = Model(counts), known, cache
+        self.thin = {DOUBLED.sub(r"\1", x): x for x in sorted(known)}
+        self.longest = max(map(len, known), default=0)
         self.seen: dict[str, tuple[str, ...]] = {}
 
     def reading(self, token: str) -> tuple[str, ...]:
-        words = self.model.readings(token)
-        return tuple([next((w for w in words if w in self.known), words[0])]) if words else ()
+        found = [words for part in parts(token) if (words := self.model.readings(part))]
+        return tuple(next((w for w in words if w in self.known), words[0]) for words in found)
+
+    def inside(self, run: str) -> set[str]:
+        """Known terms in a row of letters whose word boundaries are not known."""
+        return {w for a in range(len(run)) for b in range(a + 3, min(len(run), a + self.longest) + 1) if (w := run[a:b]) in self.known}
 
     def terms_of(self, token: str) -> tuple[str, ...]:
+        if token[0] == RUN:
+            run = token[1:]
+            own = self.terms_of(run)
+            found = {*own, *self.inside(run), *(w for part in parts(run) if not part.isalpha() for x in self.model.readings(part)[:READINGS] for w in self.inside(x))}
+            return self.keep(token, tuple(sorted(found)))
         core, soft = ENDS.sub("", token), SOFT_ENDS.sub("", token)
         found: tuple[str, ...] = (core,) if core else ()
         if not core.isascii() and (folded := core.translate(FOLD)) in self.known:
             found += (folded,)
+        if core not in self.known and DOUBLED.search(core) and (thick := self.thin.get(DOUBLED.sub(r"\1", core))):
+            found += (thick,)
         if core and not core.isalpha() or DRAWN.search(core):
             if any(c.isalpha() for c in core):
                 found += self.reading(core)
         if soft != core and any(c.isalpha() for c in soft):
             found += self.reading(soft)
+        return self.keep(token, found)
+
+    def keep(self, token: str, found: tuple[str, ...]) -> tuple[str, ...]:
         if len(self.seen) >= self.cache:
             self.seen.clear()
-        self.seen[token] = found
+        if len(token) <= PART:
+            self.seen[token] = found
         return found
 
     def occurrences(self, text: str | None) -> list[str]:
@@ -130,7 +154,7 @@ class Restorer:
         if not text:
             return []
         low = text.lower()
-        return low.split() + ["".join(m.group().split()) for m in SPELT.finditer(low)]
+        return low.split() + [RUN + "".join(m.group().split()) for m in SPELT.finditer(low)]
 
     def terms(self, text: str | None) -> set[str]:
         found: set[str] = set()
@@ -151,9 +175,8 @@ class Restorer:
         return sorted(found), math.log1p(max(0, sum(t in hits for t in tokens) - len(found)))
 
 
-@lru_cache(1)  # a worker keeps what it has read for one model at a time
 def restorer(counts: bytes, known: frozenset[str]) -> Restorer:
-    return Restorer(np.frombuffer(counts, np.int64), known)
+    return kept(("restorer", counts, known), lambda: Restorer(np.frombuffer(counts, np.int64), known))
 
 
 def gram_counts(docs: DataFrame) -> np.ndarray:
@@ -221,8 +244,9 @@ def scorer(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Call
     """What makes, in a worker, the function from texts to scores, learnt from docs (doc_id, text)
     and labels (doc_id, toxic)."""
     taught = labels.where(F.col("toxic").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id", F.col("toxic").cast("int").alias("y"))
-    # A small table of labels is broadcast, so that no text is shuffled; a larger one is not.
-    labelled = docs.join(if_small(taught, LABELS), "doc_id").select("doc_id", "text", "y")
+    # The same plan whatever the number of labels: texts that may be learnt from meet them in a shuffle.
+    labelled = docs.where(~held_out(F.col("doc_id"))).join(taught.hint("merge"), "doc_id").select("doc_id", "text", "y")
+    labelled = written(labelled.withColumn("row", F.monotonically_increasing_id()), "labelled")
     counts = gram_counts(docs).tobytes()
     terms = telling_terms(labelled, counts)
     place, known = {t: i for i, t in enumerate(terms)}, frozenset(terms)
@@ -233,8 +257,10 @@ def scorer(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Call
             found = [own.features(t.as_py(), place) for t in batch.column(2)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([f[0] for f in found], pa.list_(pa.int32())), pa.array([f[1] for f in found], pa.float64())], names=["doc_id", "y", "places", "recur"])
 
-    shown = labelled.select("doc_id", "y", "text").mapInArrow(features, "doc_id long, y int, places array<int>, recur double")
-    sample = shown.orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows).select("y", "places", "recur").toPandas()
+    part = min(1.0, fit_rows / max(labelled.count(), 1))
+    chosen = labelled.where(F.pmod(F.xxhash64("row"), F.lit(1 << 40)) < int(part * (1 << 40)))
+    shown = chosen.select("doc_id", "y", "text").mapInArrow(features, "doc_id long, y int, places array<int>, recur double")
+    sample = shown.select("y", "places", "recur").toPandas()
     y = sample["y"].to_numpy(float)
     if len(y) and 0 < y.sum() < len(y):
         w = fit(y, [np.asarray(p) for p in sample["places"]], sample["recur"].to_numpy(float), len(terms))
