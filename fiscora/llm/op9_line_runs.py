@@ -45,8 +45,10 @@ def repeated_stretches(docs: DataFrame, min_words: int) -> DataFrame:
     the stretch before and up to the line."""
     lines = _key(docs.where("text IS NOT NULL")).select("d", "t", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
     lines = written(lines.select("d", "t", "pos", F.regexp_count("line", F.lit(r"\S+")).cast("long").alias("words"), F.unhex(F.md5(F.col("line").cast("binary"))).alias("id")), "lines")
-    named = lines.groupBy("id").agg(F.min(_place()).alias("r0"), F.max(_place()).alias("most")).where("r0 < most").drop("most")
-    repeated = lines.join(named, "id").select("d", "t", "pos", "words", "r0")
+    # Written first: both sides of the join are then plain shuffles, which adaptive execution splits.
+    named = written(lines.groupBy("id").agg(F.min(_place()).alias("r0"), F.max(_place()).alias("most")).where("r0 < most").drop("most"), "named")
+    # Repeated rows are one place.
+    repeated = lines.join(named, "id").groupBy("d", "t", "pos").agg(F.first("words").alias("words"), F.first("r0").alias("r0"))
     own = Window.partitionBy("d", "t").orderBy("pos")
     repeated = repeated.withColumn("seg", F.col("pos") - F.row_number().over(own))
     stretch = Window.partitionBy("d", "t", "seg")
@@ -61,7 +63,7 @@ def doubled(rows: DataFrame, k: int) -> DataFrame:
     rank = f"r{k}"
     paired = rows.withColumn("a", F.col(rank)).withColumn("b", F.max(rank).over(near))
     both = paired.where("a IS NOT NULL AND b IS NOT NULL")
-    named = both.groupBy("a", "b").agg(F.min(_place()).alias("name"), F.max(_place()).alias("most")).where("name < most").select(F.col("a").alias("a2"), F.col("b").alias("b2"), "name")
+    named = written(both.groupBy("a", "b").agg(F.min(_place()).alias("name"), F.max(_place()).alias("most")).where("name < most").select(F.col("a").alias("a2"), F.col("b").alias("b2"), "name"), "named")
     joined = paired.join(named, (F.col("a") == F.col("a2")) & (F.col("b") == F.col("b2")), "left")
     return joined.select(*rows.columns, F.col("name").alias(f"r{k + 1}"))
 
@@ -89,7 +91,7 @@ def repeated_windows(rows: DataFrame, min_words: int) -> DataFrame:
     met = asked.join(left, ["d", "t", "pos"]).join(right, ["d", "t", "other"])
     met = met.select("d", "t", "pos", "m", F.expr("here[k]").alias("a"), F.expr("there[k]").alias("b")).where("a IS NOT NULL AND b IS NOT NULL")
     met = written(met, "met")
-    first = met.groupBy("m", "a", "b").agg(F.min(_place()).alias("name"), F.max(_place()).alias("most")).where("name < most").drop("most")
+    first = written(met.groupBy("m", "a", "b").agg(F.min(_place()).alias("name"), F.max(_place()).alias("most")).where("name < most").drop("most"), "first")
     return met.join(first, ["m", "a", "b"]).where(_place() > F.col("name")).select("d", "t", "pos", "m")
 
 
