@@ -50,7 +50,14 @@ def test_token_files(spark):
     op.write_tokens(docs(spark, texts), path, str(public_tokenizers.path("byte_bpe_50k.json")), 2, block_ids=64, chunk_ids=500)
     read = op.read_tokens(spark, path).collect()
     assert {r["doc_id"]: zlib.crc32(np.array(r["ids"], "<u4").tobytes()) for r in read} == {i: w[2] for i, w in wanted.items()}
+    every = [i for r in sorted(read, key=lambda r: r["doc_id"]) for i in r["ids"]]
+    for start, n in ((0, 10), (495, 20), (700, 1500), (len(every) - 3, 50), (len(every), 5)):
+        got = [i for r in sorted(op.read_range(spark, path, start, n).collect(), key=lambda r: r["start"]) for i in r["ids"]]
+        assert got == every[start : start + n]
     assert not op.op1_token_planes(spark, docs(spark, ODD).where("false")).count()
+    repeated = spark.createDataFrame([(4, "a b"), (4, "a b"), (4, "c"), (None, "d e"), (None, None)], "doc_id long, text string")
+    found = sorted((str(r["doc_id"]), r["n_tokens"]) for r in op.op1_token_planes(spark, repeated).collect())
+    assert found == [("4", 2), ("4", 3), ("4", 3), ("None", 1), ("None", 3)]
 
 
 def test_planes_round_trip():
@@ -241,6 +248,12 @@ def test_secrets(spark):
         spans = sorted((m.start(), k, m.end(), kind) for k, (kind, p) in enumerate(base.items()) for m in re.finditer(p, t or "", re.ASCII) if (len(m[2]) >= 12 if kind == "assign" else len(m[0]) >= (18 if kind == "access" else 16)))
         told = ",".join(f"{kind}:{a}:{b}" for a, _, b, kind in spans)
         wanted[i] = (*[sum(s[3] == kind for s in spans) for kind in base], hashlib.sha256(told.encode()).hexdigest())
+    more = {"private_key": r"-----BEGIN [A-Z ]*PRIVATE KEY-----(?:[A-Za-z0-9+/= \t\n\r]*-----END [A-Z ]*PRIVATE KEY-----)?", "forge_token": r"gh[pousr]_[A-Za-z0-9]{36,}", "chat_token": r"xox[abprs]-[0-9A-Za-z-]{10,}", "map_key": r"AIza[0-9A-Za-z_-]{35,}", "web_token": r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}(?:\.[A-Za-z0-9_-]*)?"}
+    parts += ["xoxb-", "AIza", "eyJ", "eyJabcdefgh.", "b" * 30, "-----END PRIVATE KEY-----", "_", "-"]
+    mixed = ["".join(rng.choices(parts, k=rng.randrange(25))) for _ in range(3000)]
+    spans = op.Scanner(op.compiled(op.RULES), op.RULES).spans([t.encode() for t in mixed])
+    for t, own in zip(mixed, spans, strict=True):
+        assert [x for x in own if x[1] > 2] == sorted((m.start(), k, m.end()) for k, p in enumerate(more.values(), 3) for m in re.finditer(p, t, re.ASCII))
     found = op.op6_secrets(docs(spark, texts))
     assert by_id(found, "n_assign", "n_access", "n_hex", "base_sha256") == wanted
     assert not op.op6_secrets(docs(spark, texts).where("false")).count()
@@ -294,14 +307,14 @@ def test_toxicity(spark):
     rng = random.Random(8)
     plain = ["the", "river", "water", "stone", "garden", "letter", "window", "idle", "moral"]
     say = lambda bad: " ".join(rng.choice(plain) for _ in range(30)) + (" you idiot moron" if bad else "")
-    noisy = ["you 1d10t m0r0n the river", "i d i o t and m o r o n by the water", "idiooot mooooron garden"]
+    noisy = ["you 1d10t m0r0n the river", "i d i o t and m o r o n by the water", "idiooot mooooron garden", "he is a i d i o t and a m o r o n", "y o u 1 d 1 0 t by the stone", "the iidiioott moorroonn river", "x 1 " * 3000 + "1" * 9000]
     texts = [say(i % 4 == 0) for i in range(400)] + noisy + ODD
     labels = spark.createDataFrame([(i, 1, int(i % 4 == 0) if i % 9 else None) for i in range(400)], "doc_id long, quality int, toxic int")
     found = by_id(op.op8_toxicity(docs(spark, texts), labels), "held_out", "score", "predicted")
     assert all(found[i][0] == (zlib.crc32(str(i).encode()) % 3 == 1) for i in range(len(texts)))
     assert all(found[i][2] == (i % 4 == 0) for i in range(400))
-    assert [found[400 + i][2] for i in range(3)] == [1, 1, 1]
-    assert all(found[403 + i][2] == 0 and 0 <= found[403 + i][1] <= 1 for i in range(len(ODD)))
+    assert [found[400 + i][2] for i in range(7)] == [1, 1, 1, 1, 1, 1, 0]
+    assert all(found[407 + i][2] == 0 and 0 <= found[407 + i][1] <= 1 for i in range(len(ODD)))
     kept = op.clean_documents(docs(spark, texts), labels)
     assert kept.columns == docs(spark, texts).columns and kept.count() == sum(1 - f[2] for f in found.values())
     none = by_id(op.op8_toxicity(docs(spark, texts[:5]), labels.where("false")), "predicted")
@@ -338,8 +351,16 @@ def test_line_runs(spark):
     texts += [texts[-1] + "\nmore", "x\n" + texts[-2]]
     for least in (4, 9, 20):
         out = op.drop_repeated_runs(docs(spark, texts), least)
-        # Rows that are the same in id and text would be one place; here all ids differ.
         assert {i: v[0] for i, v in by_id(out, "deleted").items()} == brute_runs(texts, least)
+    # Rows that are the same in id and text are one place, and each of them keeps its result.
+    again = op.drop_repeated_runs(docs(spark, texts).unionByName(docs(spark, texts).where("doc_id % 3 = 0")), least).collect()
+    single = by_id(out, "deleted", "text")
+    assert len(again) == len(texts) + len(range(0, len(texts), 3)) and all(single[r["doc_id"]] == (r["deleted"], r["text"]) for r in again)
+    # Ids that are missing, or repeat with other texts, are places of their own.
+    run = "\n".join(" ".join("abcdefgh"[:k]) + f" {k}" for k in range(1, 8))
+    rows = spark.createDataFrame([(None, run), (5, "x\n" + run), (5, "y z"), (7, run + "\nend"), (7, run + "\nend")], "doc_id long, text string")
+    found = sorted((str(r["doc_id"]), r["text"], len(r["deleted"])) for r in op.drop_repeated_runs(rows, 20).collect())
+    assert found == [("5", "x", 7), ("5", "y z", 0), ("7", "end", 7), ("7", "end", 7), ("None", run, 0)]
     kept = by_id(out, "text", "deleted")
     assert all(kept[i][0] == (None if t is None else "\n".join(x for k, x in enumerate(t.split("\n")) if k not in kept[i][1])) for i, t in enumerate(texts))
     assert not op.op9_line_runs(docs(spark, texts).where("false")).count()
