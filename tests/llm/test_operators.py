@@ -135,6 +135,47 @@ def test_main_text(spark):
     assert html.unescape("&amp;") == "&"
 
 
+def test_main_text_of_many_layouts():
+    """Precision and recall of words over layouts whose text is known; names that speak against the
+    article itself; markup that must not cost more than linear time."""
+    import time
+
+    from fiscora.llm.op3_main_text import main_text
+
+    rng = random.Random(3)
+    say = lambda n, mark="": " ".join(f"{mark}{rng.choice('abcdefgh')}{rng.randrange(90)}{',' * (k % 7 == 3)}" for k in range(n)) + "."
+    paragraphs = lambda mark="": "".join(f"<p>{say(rng.randrange(8, 60), mark)}</p>" for _ in range(4))
+    menu = lambda: "<ul>" + "".join(f"<li><a href=/{k}>{say(2, 'x')}</a></li>" for k in range(8)) + "</ul>"
+    layouts = [
+        lambda a: f"<nav>{menu()}</nav><article><h1>{say(4)}</h1>{a}</article><footer>{say(20, 'x')}</footer>",
+        lambda a: f"<div id=menu>{menu()}</div><div class=content>{a}</div><div class=sidebar>{menu()}<p>{say(15, 'x')}</p></div>",
+        lambda a: f"<div class='legal-text'>{a}</div><div class=footer>{say(9, 'x')}</div>",
+        lambda a: f"<div class='notice-body'>{a}</div><div class=nav>{menu()}</div>",
+        lambda a: f"<main>{a}<section class=comments>{paragraphs('x')}</section></main>",
+        lambda a: f"<table><tr><td>{menu()}</td><td>{a}</td></tr></table>",
+        lambda a: f"<div class=cookie-banner><p>{say(30, 'x')}</p></div><div><div>{a}</div></div>",
+        lambda a: f"<header><h2>{say(5, 'x')}</h2>{menu()}</header><section class=post-body>{a}</section><aside>{paragraphs('x')}</aside>",
+        lambda a: f"<div class=wrap><div class=entry>{a}</div><form><p>{say(12, 'x')}</p><input></form></div>",
+        lambda a: f"<body class='no-sidebar'><div role=navigation>{menu()}</div><div role=main>{a}</div><div class='ad ad-top'>{say(25, 'x')}</div>",
+        lambda a: f"<div class=story>{a.replace('</p>', '')}</div><div class=related>{menu()}</div>",
+        lambda a: f"<article><header><h1>{say(5)}</h1></header>{a}</article><div class=newsletter-signup><p>{say(20, 'x')}</p></div>",
+    ]
+    right = wrong = missed = 0
+    for layout in layouts * 5:
+        page = layout(paragraphs())
+        wanted = [w for w in re.sub(r"<[^>]*>", " ", page).split() if w[0] != "x"]
+        found = main_text(page).split()
+        right += len([w for w in found if w[0] != "x"])
+        wrong += len([w for w in found if w[0] == "x"])
+        missed += len(wanted) - len([w for w in found if w[0] != "x"])
+    assert right / (right + wrong) >= 0.99 and right / (right + missed) >= 0.99, (right, wrong, missed)
+    assert main_text("<p>First one, which is long enough.</p><p data-x=\"unclosed>second one, as long as the first</p>") == "First one, which is long enough. second one, as long as the first"
+    for hard in ("<a " * 340_000, "<div>x" * 170_000, "<div>" * 200_000, '<p x="' * 150_000, "<span class=ad>" * 60_000, "<" * 1_000_000, "<!--" * 250_000):
+        began = time.process_time()
+        main_text(hard)
+        assert time.process_time() - began < 4
+
+
 # 4 -------------------------------------------------------------------------------------------------
 
 
