@@ -320,7 +320,7 @@ def test_automaton_against_expressions():
 
 
 def test_surrogates(spark):
-    from fiscora.llm.op7_surrogates import op7_surrogates
+    from fiscora.llm.op7_surrogates import op7_surrogates, replace_personal_data
 
     texts = [*ODD, "Mail anna.berg@mail.example.com, 10.1.2.3 or 81.82.83.84.", "Mrs Anna Berg met Mr Carl Berg; Mrs Berg left. +1 (787) 555-1710", "4111111111111111 and 4111111111111112", "anna.berg@mail.example.com again", "господин Иван Петров"]
     found = by_id(op7_surrogates(docs(spark, texts)), "text", "n_entities")
@@ -337,6 +337,32 @@ def test_surrogates(spark):
     assert a != b and luhn(a) == 0 and luhn(b) == luhn("4111111111111112") and "4111111111111111" not in (a, b)
     assert re.fullmatch(r"господин [А-Я][а-я]+н [А-Я][а-я]+", found[n + 4][0]) and "Иван" not in found[n + 4][0]
     assert not op7_surrogates(docs(spark, texts).where("false")).count()
+    same = [
+        "Dr Anna Berg came. Mrs Anna Berg spoke; Anna Berg left, and BERG slept. Mrs Anna, too.",
+        "Call +1 (787) 555-7713 or +1-787-555-7713, pay 4111 1111 1111 1111 or 4111111111111111.",
+        "Write to A.Berg@Mail.example.com or a.berg@mail.example.com.",
+        "IBAN DE89 3704 0044 0532 0130 00 or DE89370400440532013000, not DE88370400440532013000.",
+        "Anna walks by the Berg.",
+    ]
+    rows = spark.createDataFrame([(3, same[0]), (3, same[0]), (3, same[1]), (None, same[2]), (None, same[3]), (8, same[4]), (9, None)], "doc_id long, text string")
+    out = {}
+    for r in op7_surrogates(rows).collect():
+        out.setdefault((r["doc_id"], r["n_entities"]), []).append(r["text"])
+    assert out[(8, 0)] == [same[4]] and out[(9, 0)] == [None]
+    (name, again), (number,), (mail,), (iban,) = out[(3, 6)], out[(3, 4)], out[(None, 2)], out[(None, 3)]
+    assert name == again
+    m = re.fullmatch(r"Dr (\w+) (\w+) came\. Mrs (\w+) (\w+) spoke; (\w+) (\w+) left, and (\w+) slept\. Mrs (\w+), too\.", name).groups()
+    assert m[0] == m[2] == m[4] == m[7] != "Anna" and m[0].endswith("a") and m[1] == m[3] == m[5] != "Berg" and m[6] == m[1].upper()
+    a, b, c, d = re.fullmatch(r"Call (\+1 \(\d{3}\) \d{3}-\d{4}) or (\+1-\d{3}-\d{3}-\d{4}), pay (4\d{3} \d{4} \d{4} \d{4}) or (4\d{15})\.", number).groups()
+    digits = lambda x: re.sub(r"\D", "", x)
+    assert digits(a) == digits(b) != "17875557713" and digits(c) == d != "4" + "1" * 15 and luhn(d) == 0
+    a, b = re.fullmatch(r"Write to ([A-Z]\.[A-Z][a-z]{3}@[A-Z][a-z]{3}\.[a-z]{7}\.com) or ([a-z.]+@[a-z.]+\.com)\.", mail).groups()
+    assert a.lower() == b != "a.berg@mail.example.com"
+    right = lambda x: int("".join(str(int(c, 36)) for c in x[4:] + x[:4])) % 97 == 1
+    a, b, c = re.fullmatch(r"IBAN (DE\d\d \d{4} \d{4} \d{4} \d{4} \d\d) or (DE\d{20}), not (DE\d{20})\.", iban).groups()
+    assert a.replace(" ", "") == b != "DE89370400440532013000" and right(b) and not right(c)
+    with pytest.raises(TypeError):
+        replace_personal_data(rows)
 
 
 # 8 -------------------------------------------------------------------------------------------------
