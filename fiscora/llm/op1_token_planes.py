@@ -16,7 +16,6 @@ columns other than the id and the text are not read, whatever their names.
 from __future__ import annotations
 
 import os
-import re
 import zlib
 from collections.abc import Iterator
 
@@ -30,17 +29,15 @@ from fiscora.llm.common import kept, partitions, scratch
 
 BLOCK_IDS = 65_536
 CHUNK_IDS = 1_048_576
-#: Distinct pieces whose ids a worker remembers, in each of two generations: about 40 MB each.
-REMEMBERED = 160_000
-#: Characters of text that are encoded together (a longer text alone).
-TOGETHER = 1 << 19
-#: A byte-level vocabulary's sign of each byte: itself where it can be seen, else the next free one.
-_SEEN = [*range(33, 127), *range(161, 173), *range(174, 256)]
-_HIDDEN = [i for i in range(256) if i not in _SEEN]
-SIGNS = {i: 256 + k for k, i in enumerate(_HIDDEN) if i != 10}
-#: White space beyond ASCII beside a space.
-_WIDE = "\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-WIDE_GAP = re.compile(f" [{_WIDE}]|[{_WIDE}] ")
+#: Distinct pieces whose ids a worker remembers, in each of two generations: about 70 MB each.
+REMEMBERED = 320_000
+#: Characters of texts that are encoded together (a longer text alone).
+TOGETHER = 1 << 12
+#: Signs that may stand behind a word (an apostrophe may begin a token with letters).
+SIGNS = ".,;:!?*#%$&()[]{}<>/=+-_~^|@\""
+#: White space other than the space, in ASCII and beyond.
+GAPS = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f"
+WIDE_GAPS = "\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 
 CHUNK_SCHEMA = (
     "shard int, chunk int, first_id long, n_ids long, block_ids int, width int, "
@@ -48,47 +45,25 @@ CHUNK_SCHEMA = (
 )
 
 
-class Known(dict):
-    """Ids by piece, in two generations of at most `most` pieces each. A piece that neither knows is
-    noted in `new` and stands for nothing until it is learnt."""
-
-    def __init__(self, most: int):
-        super().__init__()
-        self.most, self.old, self.new = most, {}, []
-
-    def __missing__(self, piece: str) -> bytes:
-        ids = self.old.get(piece)
-        if ids is None:
-            self.new.append(piece)
-            ids = b""
-        self[piece] = ids
-        return ids
-
-    def age(self) -> None:
-        if len(self) > self.most:
-            self.old = dict(self)
-            self.clear()
-
-
 class PieceEncoder:
     """Ids of texts by the tokenizers library, remembered by piece.
 
     A byte-level pre-tokenizer always ends a token before a lone space between two other
     characters, so a text cut there has the ids of its pieces, one after the other. Unknown pieces
-    of some texts are encoded together and told apart by the bytes that their tokens stand for;
-    those of letters alone are one word each, so the library may cut at a mark between them in
-    place of its pattern. Texts with a space beside other white space, and texts with special
-    tokens, are encoded whole.
+    of a text are encoded together and told apart by the bytes that their tokens stand for; a known
+    word with signs behind it needs no encoding, as letters and signs never share a token. Texts
+    with a space beside other white space, and texts with special tokens, are encoded whole.
     """
 
     def __init__(self, path: str, end_id: int, most: int = REMEMBERED):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer, pre_tokenizers
+        from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.of_words = Tokenizer.from_file(path)
-        self.of_words.pre_tokenizer = pre_tokenizers.CharDelimiterSplit("\n")
-        self.known = Known(most)
+        self.tokenizer, self.most = Tokenizer.from_file(path), most
+        #: Ids of what follows a space, in two generations.
+        self.known: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        self.few: dict[str, bytes] = {}
         self.end = np.array([end_id], "<u4").tobytes()
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
@@ -99,49 +74,54 @@ class PieceEncoder:
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def learn(self) -> None:
-        """Give the new pieces of known their ids."""
-        words = [p for p in self.known.new if p.isalpha()]
-        others = [p for p in self.known.new if not p.isalpha()]
-        marked = " " + "\n ".join(words)
-        for pieces, by, text in ((words, self.of_words, marked.encode().decode("latin-1").translate(SIGNS)), (others, self.tokenizer, " " + " ".join(others))):
-            if pieces:
-                ids = np.array(by.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
-                ends = np.searchsorted(np.cumsum(self.bytes_of[ids]), np.cumsum([1 + len(p.encode()) for p in pieces])) + 1
-                raw, at = ids.tobytes(), 0
-                for p, end in zip(pieces, (4 * ends).tolist(), strict=True):
-                    self.known[p], at = raw[at:end], end
-        self.known.new.clear()
+    def alone(self, text: str) -> bytes:
+        """Ids of a row of signs, or of a text's first piece."""
+        if (ids := self.few.get(text)) is None:
+            if len(self.few) > 20_000:
+                self.few.clear()
+            ids = self.few[text] = self.whole(text)
+        return ids
+
+    def learn(self, pieces: set[str]) -> None:
+        """Remember the ids of pieces."""
+        new = pieces
+        if self.old:
+            new = pieces.difference(self.old)
+            for p in pieces.difference(new):
+                self.known[p] = self.old[p]
+        known, unknown = self.known, []
+        for p in new:
+            core = p.rstrip(SIGNS)
+            if len(core) < len(p) and (ids := known.get(core)) and core[-1].isalpha():
+                known[p] = ids + self.alone(p[len(core) :])
+            else:
+                unknown.append(p)
+        if new := unknown:
+            ids = np.array(self.tokenizer.encode_batch_fast([" " + " ".join(new)], add_special_tokens=False)[0].ids, "<u4")
+            ends = np.searchsorted(np.cumsum(self.bytes_of[ids]), np.cumsum([1 + len(p.encode()) for p in new])) + 1
+            raw, at = ids.tobytes(), 0
+            for p, end in zip(new, (4 * ends).tolist(), strict=True):
+                known[p], at = raw[at:end], end
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text, with the end id."""
         out, cut = [self.end] * len(texts), []
-        self.known.age()
-        look_up = self.known.__getitem__
+        if len(self.known) > self.most:
+            self.known, self.old = {}, self.known
         for i, text in enumerate(texts):
-            if not text:
-                continue
-            head, gap, rest = text.partition(" ")
-            if not gap or text[0].isspace() or text[-1].isspace() or crowded(text) or any(x in text for x in self.special):
-                out[i] = self.whole(text) + self.end
-            else:
-                pieces = rest.split(" ")
-                ids = list(map(look_up, pieces))
-                # Places of pieces that are not learnt yet hold nothing.
-                cut.append((i, head, pieces, ids if all(ids) else None))
-        self.learn()
-        for i, head, pieces, ids in cut:
-            out[i] = b"".join([self.whole(head), *(ids or map(look_up, pieces)), self.end])
+            if text:
+                head, gap, rest = text.partition(" ")
+                if not gap or text[0].isspace() or text[-1].isspace() or crowded(text) or any(x in text for x in self.special):
+                    out[i] = self.whole(text) + self.end
+                else:
+                    cut.append((i, head, rest.split(" ")))
+        if new := set().union(*[pieces for _, _, pieces in cut]).difference(self.known):
+            self.learn(new)
+        for i, head, pieces in cut:
+            out[i] = b"".join([self.alone(head), *map(self.known.__getitem__, pieces), self.end])
         return out
 
 
-def crowded(text: str) -> bool:
-    """Whether a space stands beside other white space."""
-    if "  " in text or any(g in text and (f" {g}" in text or f"{g} " in text) for g in "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f"):
-        return True
-    return not text.isascii() and WIDE_GAP.search(text) is not None
-
-
 def encoded(encoder: PieceEncoder, texts: pa.Array) -> Iterator[bytes]:
     """The ids of each text, a few texts at a time."""
     held, size = [], 0
@@ -154,6 +134,11 @@ def encoded(encoder: PieceEncoder, texts: pa.Array) -> Iterator[bytes]:
     yield from encoder.encode(held)
 
 
+def crowded(text: str) -> bool:
+    """Whether a space stands beside other white space."""
+    return "  " in text or any(g in text and (f" {g}" in text or f"{g} " in text) for g in (GAPS if text.isascii() else GAPS + WIDE_GAPS))
+
+
 def piece_encoder(path: str, end_id: int) -> PieceEncoder:
     """One for all tasks of a worker: what it has learnt stays."""
     return kept(("pieces", path, end_id), lambda: PieceEncoder(path, end_id))
