@@ -29,8 +29,8 @@ from fiscora.llm.common import kept, partitions, scratch
 
 BLOCK_IDS = 65_536
 CHUNK_IDS = 1_048_576
-#: Distinct pieces whose ids a worker remembers, in each of two generations: about 70 MB each.
-REMEMBERED = 320_000
+#: Distinct pieces whose ids a worker remembers, in each of two generations: about 120 MB each at most.
+REMEMBERED = 600_000
 #: Characters of texts that are encoded together (a longer text alone).
 TOGETHER = 1 << 12
 #: Signs that may stand behind a word (an apostrophe may begin a token with letters).
@@ -89,19 +89,20 @@ class PieceEncoder:
             new = pieces.difference(self.old)
             for p in pieces.difference(new):
                 self.known[p] = self.old[p]
-        known, unknown = self.known, []
+        known, others = self.known, []
         for p in new:
             core = p.rstrip(SIGNS)
             if len(core) < len(p) and (ids := known.get(core)) and core[-1].isalpha():
                 known[p] = ids + self.alone(p[len(core) :])
             else:
-                unknown.append(p)
-        if new := unknown:
-            ids = np.array(self.tokenizer.encode_batch_fast([" " + " ".join(new)], add_special_tokens=False)[0].ids, "<u4")
-            ends = np.searchsorted(np.cumsum(self.bytes_of[ids]), np.cumsum([1 + len(p.encode()) for p in new])) + 1
-            raw, at = ids.tobytes(), 0
-            for p, end in zip(new, (4 * ends).tolist(), strict=True):
-                known[p], at = raw[at:end], end
+                others.append(p)
+        if not others:
+            return
+        ids = np.array(self.tokenizer.encode_batch_fast([" " + " ".join(others)], add_special_tokens=False)[0].ids, "<u4")
+        ends = np.searchsorted(np.cumsum(self.bytes_of[ids]), np.cumsum([1 + len(p.encode()) for p in others])) + 1
+        raw, at = ids.tobytes(), 0
+        for p, end in zip(others, (4 * ends).tolist(), strict=True):
+            known[p], at = raw[at:end], end
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text, with the end id."""
