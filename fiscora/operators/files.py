@@ -1,6 +1,6 @@
 """File plans: duplicates, conflicts, destinations, audits, folder names (SURVEY 2.B B5-B6, 2.C C1,
 2.E J8-J9, 2.J P1-P7). Every plan is a table (status, source, destination, detail); nothing moves
-until a caller applies it, and `apply` only changes what the status says."""
+until sources.apply.apply_plan() is called with it, and every plan says so (would_..., previsto_...)."""
 
 from __future__ import annotations
 
@@ -25,9 +25,9 @@ def exact_duplicates(files: DataFrame) -> DataFrame:
     return files.join(least, "sha256").where("path <> survivor").select(F.col("path").alias("duplicate"), "survivor", "sha256")
 
 
-def dedup_plan(files: DataFrame, apply: bool = False) -> DataFrame:
+def dedup_plan(files: DataFrame) -> DataFrame:
     """P2."""
-    return exact_duplicates(files).select(F.lit("duplicate_removed" if apply else "would_remove").alias("status"), F.col("duplicate").alias("source"), F.col("survivor").alias("destination"), F.lit("identical content").alias("detail"))
+    return exact_duplicates(files).select(F.lit("would_remove").alias("status"), F.col("duplicate").alias("source"), F.col("survivor").alias("destination"), F.lit("identical content").alias("detail"))
 
 
 def free_names(wanted: DataFrame, taken: DataFrame) -> DataFrame:
@@ -41,7 +41,7 @@ def free_names(wanted: DataFrame, taken: DataFrame) -> DataFrame:
     return joined.withColumn("final", final).drop("busy", "n")
 
 
-def move_plan(wanted: DataFrame, inventory: DataFrame, apply: bool = False) -> DataFrame:
+def move_plan(wanted: DataFrame, inventory: DataFrame) -> DataFrame:
     """Wanted (source, destination, sha256) against inventory (path, sha256): identical
     content in the folder; the same fiscal key with other content (both stay); else moved."""
     folder = lambda c: F.regexp_replace(c, "/[^/]*$", "")
@@ -51,28 +51,33 @@ def move_plan(wanted: DataFrame, inventory: DataFrame, apply: bool = False) -> D
     keyed = there.withColumn("fkey", fiscal_key(F.regexp_replace("path", "^.*/", ""))).where("fkey IS NOT NULL").groupBy("folder", "fkey").agg(F.min("path").alias("rival"))
     placed = free_names(rows, inventory).join(same, ["folder", "sha256"], "left").join(keyed, ["folder", "fkey"], "left")
     status = F.when(F.col("same").isNotNull(), "duplicate_removed").when(F.col("rival").isNotNull(), "fiscal_conflict").when(F.col("final") != F.col("destination"), "moved_with_suffix").otherwise("moved")
-    return placed.select((status if apply else F.concat(F.lit("would_"), status)).alias("status"), "source", F.coalesce("same", "final").alias("destination"), F.coalesce("rival", F.lit("")).alias("detail"))
+    return placed.select(F.concat(F.lit("would_"), status).alias("status"), "source", F.coalesce("same", "final").alias("destination"), F.coalesce("rival", F.lit("")).alias("detail"))
 
 
-def date_audit(files: DataFrame, inventory: DataFrame, apply: bool = False) -> DataFrame:
+def date_audit(files: DataFrame, inventory: DataFrame) -> DataFrame:
     """Files (path, issue_date) whose path does not tell the date: moved, or in conflict with a
     file that is there; unreadable dates are errors."""
     target = corrected_path(F.col("path"), F.col("issue_date"))
     rows = files.withColumn("destination", target).where(F.col("issue_date").isNull() | (F.col("destination") != F.col("path")))
     there = inventory.select(F.col("path").alias("destination"), F.lit(True).alias("taken")).distinct()
-    status = F.when(F.col("issue_date").isNull(), "error").when(F.col("taken"), "conflict").otherwise("date_repaired" if apply else "would_move")
+    status = F.when(F.col("issue_date").isNull(), "error").when(F.col("taken"), "conflict").otherwise("would_move")
     return rows.join(there, "destination", "left").select(status.alias("status"), F.col("path").alias("source"), "destination", F.when(F.col("issue_date").isNull(), "sin fecha").otherwise("").alias("detail"))
 
 
-def folder_plan(files: DataFrame, aliases: DataFrame, apply: bool = False) -> DataFrame:
+def folder_plan(files: DataFrame, aliases: DataFrame) -> DataFrame:
     """Files (path, folder, name, sha256) in folders that aliases (alias, canonical) rename.
-    Previewed unless applied, unlike most tools of this kind."""
-    moved = files.join(F.broadcast(aliases), files["folder"] == aliases["alias"]).withColumn("destination", F.concat_ws("/", "canonical", "name"))
+    Previewed, unlike by most tools of this kind."""
+    moved = files.join(aliases, files["folder"] == aliases["alias"]).withColumn("destination", F.concat_ws("/", "canonical", "name"))
     here = files.select(F.col("path").alias("destination"), F.col("sha256").alias("there")).dropDuplicates(["destination"])
     wanted = moved.select(F.col("path").alias("source"), "destination", "sha256")
     placed = free_names(wanted, files).join(here, "destination", "left")
     status = F.when(F.col("there") == F.col("sha256"), "duplicado_eliminado").when(F.col("final") == F.col("destination"), "movido").otherwise("movido_con_sufijo")
-    return placed.select((status if apply else F.concat(F.lit("previsto_"), status)).alias("status"), "source", F.when(F.col("there") == F.col("sha256"), F.col("destination")).otherwise(F.col("final")).alias("destination"), F.lit("").alias("detail"))
+    return placed.select(F.concat(F.lit("previsto_"), status).alias("status"), "source", F.when(F.col("there") == F.col("sha256"), F.col("destination")).otherwise(F.col("final")).alias("destination"), F.lit("").alias("detail"))
+
+
+def applied(status: Column, moved: str = "moved") -> Column:
+    """What a planned status is called once it is done; `moved` names a plain move."""
+    return F.when(status == "would_remove", "duplicate_removed").when(status == "would_move", moved).otherwise(F.regexp_replace(status, "^(would|previsto)_", ""))
 
 
 def new_attachments(attachments: DataFrame, landing: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fiscora.functions import taxid, text
-from fiscora.operators import amounts, classify, filename, files, fusion, header, issuer, suppliers
+from fiscora.operators import amounts, classify, filename, files, fusion, header, issuer, run, suppliers
 from fiscora.plans import documents as plans
 from fiscora.plans import render
 from fiscora.sources.documents import joined_pages
@@ -280,7 +280,8 @@ def q_move_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = F.concat(F.lit("root/P"), F.col("s_suppkey").cast("string"), F.lit("/01-01"), F.col("fiscal_code"), F.col("document_number"), F.lit("_R_P.pdf"))
     wanted = facts.select(F.concat(F.lit("_Pendientes/"), F.col("doc_key").cast("string")).alias("source"), path.alias("destination"), F.col("doc_key").cast("string").alias("sha256"))
     there = facts.where("doc_key % 2 = 0").select(path.alias("path"), F.when(F.col("doc_key") % 4 == 0, F.col("doc_key").cast("string")).otherwise("other").alias("sha256"))
-    return files.move_plan(wanted, there, True).select("status", "source").groupBy("status").agg(F.count("*").alias("n"))
+    plan = files.move_plan(wanted, there)
+    return plan.groupBy(files.applied(F.col("status")).alias("status")).agg(F.count("*").alias("n"))
 
 
 def q_folder_alias_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -288,7 +289,7 @@ def q_folder_alias_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = F.concat_ws("/", F.concat(F.lit("OLD_"), F.col("n_regionkey").cast("string")), F.concat("n_name", F.lit(".pdf")))
     rows = nation.select(path.alias("path"), F.concat(F.lit("OLD_"), F.col("n_regionkey").cast("string")).alias("folder"), F.concat("n_name", F.lit(".pdf")).alias("name"), F.sha2("n_name", 256).alias("sha256"))
     aliases = read(spark, sf_dir, "region").select(F.concat(F.lit("OLD_"), F.col("r_regionkey").cast("string")).alias("alias"), F.replace("r_name", F.lit(" "), F.lit("_")).alias("canonical"))
-    return files.folder_plan(rows, aliases, True).select("status", "source", "destination")
+    return files.folder_plan(rows, aliases).select(files.applied(F.col("status")).alias("status"), "source", "destination")
 
 
 def q_new_attachments(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -345,9 +346,34 @@ def q_source_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events.select("event_id", history.source_key(gmail, message, F.col("user_id")).alias("source_key"))
 
 
-def q_run_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+def q_final_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = read(spark, sf_dir, "events")
-    return events.agg(F.count("*").alias("found"), F.count_if(F.col("event_id") % 4 == 0).alias("errors"), F.count_if(F.col("event_id") % 3 > 0).alias("with_pdf"), F.count_distinct("user_id").alias("sources"))
+    nth = lambda n: F.col("event_id") % n == 0
+    found = events.select(nth(3).alias("saved"), (~nth(3)).alias("existed"))
+    readings = events.select(F.when(~nth(5), nth(2) | nth(7)).alias("ok"), nth(2).alias("has_text"))
+    detections = events.select(nth(2).alias("done"), F.when(nth(4), nth(3)).alias("detected"), F.when(nth(11), "E").alias("error"))
+    return run.final_summary(found, readings, detections)
+
+
+def q_rescue_needed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.sql(_DROPPED.replace("__facts__", "{facts}"), facts=render.facts(spark, sf_dir))
+    needs = run.needs_rescue(F.col("doc_key") % 4 != 1, {f: F.col(f) for f in run.CRITICAL})
+    return rows.select("doc_key", needs.alias("needs_rescue"))
+
+
+def q_name_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rules for names first, then ids in the names of files."""
+    rules = spark.createDataFrame([("^7-", "siete", 1)], "pattern string, value string, priority int")
+    docs = render.facts(spark, sf_dir).select("doc_key", F.concat(F.col("doc_key").cast("string"), F.lit("-"), F.when(F.col("doc_key") % 3 == 0, taxid.digits(F.col("supplier_tax_id"))).otherwise(F.col("supplier_tax_id")), F.lit("_x.pdf")).alias("name"))
+    return suppliers.by_name(docs, rules, _suppliers(spark, sf_dir), render.RECEIVER_ID, F.col("name"))
+
+
+def q_catalog_reimport(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An import that finds half of its suppliers in an earlier catalogue, by name or alias."""
+    first = suppliers.import_catalogue(_received(spark, sf_dir)).where("substr(tax_digits, 10, 1) < '5'")
+    before = first.select(F.concat(F.lit("viejo_"), "tax_digits").alias("identifier"), F.when(F.substring("tax_digits", 9, 1) < "5", F.col("legal_name")).otherwise("Otro").alias("legal_name"), F.lit(None).cast("string").alias("display_name"), F.lit("Carpeta").alias("folder_name"), F.array(F.upper("legal_name")).alias("aliases"))
+    out = suppliers.import_catalogue(_received(spark, sf_dir), previous=before)
+    return out.select("tax_digits", "identifier", "folder_name")
 
 
 def q_state_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -402,7 +428,7 @@ SQL = {
     "q_date_audit": f"WITH a AS ({_AUDITED.replace('__facts__', FACTS)}) SELECT CASE WHEN issue_date IS NULL THEN 'error' ELSE 'would_move' END AS status, path AS source, CASE WHEN issue_date IS NOT NULL THEN target END AS destination, CASE WHEN issue_date IS NULL THEN 'sin fecha' ELSE '' END AS detail FROM a WHERE issue_date IS NULL OR path <> target",
     "q_norm_search": f"SELECT doc_id, sha256({_key('text')}) AS key_sha256, sha256(trim(regexp_replace(translate(upper({_tr('text')}), '°', 'O'), '\\s+', ' ', 'g'))) AS upper_sha256 FROM documents",
     "q_clean_lines": "SELECT doc_id, sha256(array_to_string(list_filter(list_transform(string_split(regexp_replace(replace(text, chr(160), ' '), '[ \\t]+', ' ', 'g'), chr(10)), lambda x: trim(x)), lambda x: x <> ''), chr(10))) AS lines_sha256 FROM documents",
-    "q_path_token": f"SELECT conv_id, turn, {_token('substr(text, 1, 60)')} AS token FROM conversations",
+    "q_path_token": f"SELECT conv_id, turn, {_token('text')} AS token FROM conversations",
     "q_text_preview": "SELECT doc_id, CASE WHEN length(trim(text)) > 500 THEN concat(rtrim(substr(trim(text), 1, 500)), chr(10), '[...]') ELSE trim(text) END AS preview FROM documents",
     "q_page_join": "SELECT conv_id, sha256(coalesce(string_agg(CASE WHEN turn % 3 <> 2 AND trim(text) <> '' THEN trim(text) END, concat(chr(10), chr(10)) ORDER BY turn), '')) AS text_sha256, count(*) AS n_pages, count(CASE WHEN turn % 3 <> 2 AND trim(text) <> '' THEN 1 END) AS n_text_pages, count(CASE WHEN turn % 3 <> 2 AND trim(text) <> '' THEN 1 END) > 0 AS has_text FROM conversations GROUP BY 1",
     "q_tax_id_valid": f"SELECT s_suppkey, s_suppkey % 3 <> 0 AS valid, {render.dashed('d')} AS shown, CASE WHEN s_suppkey % 3 <> 0 THEN {render.dashed('d')} END AS shown_valid FROM ({_IDS.replace('__supplier__', 'supplier')})",
@@ -428,7 +454,7 @@ CASE WHEN best IS NULL OR against OR ties > 1 THEN 'ninguna' WHEN i AND l THEN '
     "q_process_documents": f"""SELECT doc_key, CASE doc_key % 6 WHEN 5 THEN 'archivado' WHEN 4 THEN 'pendiente' ELSE 'organizado' END AS status, fiscal_code, document_number, CASE WHEN doc_key % 6 < 4 THEN issue_date END AS issue_date,
 CASE doc_key % 6 WHEN 5 THEN concat('_Listas_De_Precios/', name) WHEN 4 THEN concat('_Pendientes/', name) ELSE concat(replace(legal_name, ' ', '_'), '/', substr(issue_date, 7, 4), '/', substr(issue_date, 4, 2), '/', substr(issue_date, 1, 2), '-', substr(issue_date, 4, 2), fiscal_code, document_number, '_RECEPTORA_DE_PRUEBA_', replace(legal_name, ' ', '_'), '.pdf') END AS destination FROM ({INVOICES})""",
     "q_name_rules": f"SELECT doc_key, CASE WHEN name LIKE '%\\_003\\_%' ESCAPE '\\' OR name LIKE '%\\_006\\_%' ESCAPE '\\' THEN 'tres_o_seis' WHEN name LIKE '%\\_011\\_%' ESCAPE '\\' THEN 'once' ELSE 'chico' END AS value FROM ({INVOICES}) WHERE name LIKE '%\\_003\\_%' ESCAPE '\\' OR name LIKE '%\\_006\\_%' ESCAPE '\\' OR name LIKE '%\\_011\\_%' ESCAPE '\\' OR name LIKE '3000000000%'",
-    "q_occasional_candidates": f"SELECT tax_digits, min(legal_name) AS name, count(DISTINCT concat(document_number, fiscal_code)) AS occurrences, min(issued) AS first_seen, max(issued) AS last_seen, count(DISTINCT concat(document_number, fiscal_code)) >= 140 AS review FROM ({FACTS}) WHERE s_suppkey % 2 = 1 GROUP BY 1",
+    "q_occasional_candidates": f"SELECT tax_digits, min(legal_name) AS name, count(DISTINCT concat(document_number, fiscal_code)) AS occurrences, min(issued) AS first_seen, max(issued) AS last_seen, count(DISTINCT concat(document_number, fiscal_code)) >= 3 AS review FROM ({FACTS}) WHERE s_suppkey % 2 = 1 GROUP BY 1",
     "q_exact_duplicates": _DUPLICATES,
     "q_dedup_plan": f"SELECT 'would_remove' AS status, duplicate AS source, survivor AS destination, 'identical content' AS detail FROM ({_DUPLICATES})",
     "q_destinations": "SELECT n_name AS source, CASE WHEN k + b = 1 THEN concat('D/', cast(n_regionkey AS string), '.pdf') ELSE concat('D/', cast(n_regionkey AS string), '_', cast(k + b AS string), '.pdf') END AS final FROM (SELECT n_name, n_regionkey, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_name) AS k, CASE WHEN n_regionkey % 2 = 0 THEN 1 ELSE 0 END AS b FROM nation)",
@@ -443,8 +469,16 @@ CASE doc_key % 6 WHEN 5 THEN concat('_Listas_De_Precios/', name) WHEN 4 THEN con
     "q_incremental_antijoin": f"SELECT source_key, sequence FROM ({_MESSAGES}) AS m WHERE {_PENDING}",
     "q_recent_n": f"SELECT source_key, sequence FROM (SELECT * FROM ({_MESSAGES}) ORDER BY sequence DESC LIMIT 10) AS m WHERE {_PENDING}",
     "q_source_keys": "SELECT event_id, CASE event_id % 3 WHEN 0 THEN concat('gmail:', cast(event_id AS string)) WHEN 1 THEN concat('message-id:<', event_type, '>') ELSE concat('imap-sequence:', cast(user_id AS string)) END AS source_key FROM events",
-    "q_run_summary": "SELECT count(*) AS found, count(*) FILTER (WHERE event_id % 4 = 0) AS errors, count(*) FILTER (WHERE event_id % 3 > 0) AS with_pdf, count(DISTINCT user_id) AS sources FROM events",
+    "q_final_summary": """SELECT count(*) AS pdf_found, count(*) FILTER (WHERE event_id % 3 = 0) AS pdf_new, count(*) FILTER (WHERE event_id % 3 <> 0) AS pdf_existing,
+count(*) FILTER (WHERE ok) AS read_ok, count(*) FILTER (WHERE ok AND event_id % 2 = 0) AS with_text, count(*) FILTER (WHERE ok AND event_id % 2 <> 0) AS without_text, count(*) FILTER (WHERE NOT ok) AS read_errors,
+count(*) FILTER (WHERE event_id % 2 = 0) AS detections, count(*) FILTER (WHERE event_id % 2 = 0 AND event_id % 12 = 0) AS suppliers_found, count(*) FILTER (WHERE event_id % 2 = 0 AND event_id % 12 <> 0) AS suppliers_missing,
+count(*) FILTER (WHERE event_id % 2 <> 0) AS not_detected, count(*) FILTER (WHERE event_id % 11 = 0) AS detection_errors FROM (SELECT *, event_id % 5 <> 0 AND (event_id % 2 = 0 OR event_id % 7 = 0) AS ok FROM events)""",
+    "q_rescue_needed": f"SELECT doc_key, doc_key % 4 = 1 OR doc_key % 2 <> 0 OR doc_key % 3 <> 0 OR doc_key % 5 = 0 OR doc_key % 7 = 0 AS needs_rescue FROM ({FACTS})",
+    "q_name_ids": f"SELECT doc_key, CASE WHEN doc_key = 7 THEN 'siete' ELSE concat('proveedor_', cast(s_suppkey AS string)) END AS identifier FROM ({FACTS}) WHERE doc_key = 7 OR doc_key % 3 = 0",
 }
+SQL["q_catalog_reimport"] = f"""WITH f AS ({SQL['q_catalog_import']}), p AS (SELECT upper(replace(legal_name, ' ', '')) AS k, min(concat('viejo_', tax_digits)) AS old FROM f WHERE substr(tax_digits, 10, 1) < '5' GROUP BY 1),
+b AS (SELECT tax_digits, legal_name, document_count, old, coalesce(old, lower(replace(legal_name, ' ', '_'))) AS base FROM f LEFT JOIN p ON upper(replace(legal_name, ' ', '')) = k)
+SELECT tax_digits, CASE WHEN row_number() OVER (PARTITION BY base ORDER BY document_count DESC, legal_name, tax_digits) > 1 THEN concat(base, '_', substr(tax_digits, 8, 4)) ELSE base END AS identifier, CASE WHEN old IS NOT NULL THEN 'Carpeta' END AS folder_name FROM b"""
 SQL["q_tax_profile_export"] = "SELECT supplier_name, supplier_tax_id, " + ", ".join(f"CASE WHEN {c} THEN 'Sí' ELSE 'No' END AS {c}" for c in amounts.TAXES) + f" FROM ({SQL['q_tax_profile']})"
 
 

@@ -25,10 +25,28 @@ def fold(attempts: DataFrame) -> DataFrame:
     rows = attempts.withColumn("status", status)
     last = F.struct("attempted_at", "attempt_no")
     at = lambda c: F.max_by(c, last)
-    state = rows.groupBy("source_key").agg(at("status").alias("status"), F.count("*").alias("attempts"), at(F.coalesce("pdf_count", F.lit(0))).alias("pdf_count"), at(F.when(F.col("status") == "error", F.col("error"))).alias("last_error"), F.min("attempted_at").alias("first_seen"), F.max("attempted_at").alias("last_attempt"))
+    state = rows.groupBy("source_key").agg(at("status").alias("status"), F.count("*").alias("attempts"), at(F.coalesce("pdf_count", F.lit(0))).alias("pdf_count"), at(F.when(F.col("status") == "error", F.col("error"))).alias("last_error"), at("attempt_no").alias("last_no"), F.min("attempted_at").alias("first_seen"), F.max("attempted_at").alias("last_attempt"))
     return state.withColumn("processed_at", F.when(F.col("status").isin(*DONE), F.col("last_attempt")))
 
 
+def merge(before: DataFrame, after: DataFrame) -> DataFrame:
+    """The state that fold() gives for the attempts of two states together."""
+    both = before.unionByName(after)
+    last = F.struct("last_attempt", "last_no")
+    at = lambda c: F.max_by(c, last).alias(c)
+    state = both.groupBy("source_key").agg(at("status"), F.sum("attempts").alias("attempts"), at("pdf_count"), at("last_error"), at("last_no"), F.min("first_seen").alias("first_seen"), F.max("last_attempt").alias("last_attempt"), at("processed_at"))
+    return state.select(*after.columns)
+
+
+def reset(spark: SparkSession, path: str, apply: bool = False) -> int:
+    """How many keys the state at path holds; all of them are deleted if it is to be applied."""
+    rows = spark.read.parquet(path)
+    n, schema = rows.count(), rows.schema
+    if apply:
+        spark.createDataFrame([], schema).write.mode("overwrite").parquet(path)
+    return n
+
+
 def summary(state: DataFrame) -> DataFrame:
     """Counts by status and in all, zeros included."""
     return state.agg(*[F.count_if(F.col("status") == s).alias(s) for s in STATUSES], F.count("*").alias("total"))
@@ -47,14 +65,22 @@ def pending(messages: DataFrame, state: DataFrame, limit: int | None = None) ->
 
 
 def stream_attempts(spark: SparkSession, folder: str, schema: str, out: str, checkpoint: str):
-    """Take in new Parquet files of attempts once each; a snapshot of the folded state is written
-    for every batch, at out/state/batch=N, and the log grows at out/log. A repeated batch writes the
-    same folders again. Returns the query, which ends when all there is has been read."""
+    """Take in new Parquet files of attempts once each. Each batch is folded and merged into the
+    state of the batch before, which its own folder out/state/batch=N holds whole; the last two stay.
+    A repeated batch writes the same folder again. Returns the query, which ends when all there is has
+    been read."""
 
     def batch(df: DataFrame, n: int) -> None:
-        df.write.mode("overwrite").parquet(f"{out}/log/batch={n}")
-        log = df.sparkSession.read.schema(schema).option("recursiveFileLookup", "true").parquet(f"{out}/log")
-        fold(log).write.mode("overwrite").parquet(f"{out}/state/batch={n}")
+        jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+        at = jvm.org.apache.hadoop.fs.Path(f"{out}/state")
+        store = at.getFileSystem(conf)
+        held = sorted(int(f.getPath().getName().removeprefix("batch=")) for f in store.listStatus(at)) if store.exists(at) else []
+        new = fold(df)
+        if earlier := [k for k in held if k < n]:
+            new = merge(spark.read.schema(new.schema).parquet(f"{out}/state/batch={earlier[-1]}"), new)
+        new.write.mode("overwrite").parquet(f"{out}/state/batch={n}")
+        for k in earlier[:-1]:
+            store.delete(jvm.org.apache.hadoop.fs.Path(f"{out}/state/batch={k}"), True)
 
     return spark.readStream.schema(schema).parquet(folder).writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
