@@ -28,7 +28,7 @@ import hashlib
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fiscora.llm.common import scratch, written
+from fiscora.llm.common import partitions, scratch, written
 
 #: Draws after which names and addresses grow by a letter or syllable each time, and the most.
 GROW, MOST = 4, 200
@@ -155,16 +155,28 @@ def assigned(entities: DataFrame, key: str) -> DataFrame:
     raise ValueError("a format has no room for as many values as the corpus has")
 
 
+def own_names() -> Column:
+    """The words of the names that a text gives with a title, in small letters."""
+    titled = F.regexp_extract_all("text", F.lit(KINDS["name"]), F.lit(0))
+    words = F.flatten(F.transform(titled, lambda m: F.split(F.regexp_replace(m, rf"^{_TITLE}\.? ", ""), " ")))
+    return F.array_distinct(F.transform(words, lambda w: F.lower(w)))
+
+
+def pieces() -> Column:
+    """All that may be an entity in a text; capitalised words only where the text names someone."""
+    every = lambda p: F.regexp_extract_all("text", F.lit(p), F.lit(0))
+    return F.when(F.size("own") > 0, every(EXTENDED)).otherwise(every(COMBINED))
+
+
 def found_in(docs: DataFrame) -> DataFrame:
-    """docs (doc_id, t, text) with es: the pieces that may be entities, in order, each with its place
-    i, kind, title and words; what is none (a capitalised word that is no name here) is left out."""
-    matches = docs.withColumn("matches", F.regexp_extract_all("text", F.lit(EXTENDED), F.lit(0)))
-    kind = lambda m: F.when(m.rlike(f"^{_NAME}$"), "").otherwise(kind_of(m))
-    es = F.transform("matches", lambda m, i: F.struct(i.alias("i"), m.alias("match"), kind(m).alias("kind"), F.when(kind(m) == "name", F.regexp_extract(m, rf"^{_TITLE}\.? ", 0)).otherwise("").alias("title")))
-    words = F.expr("transform(es, e -> struct(e.i AS i, e.kind AS kind, e.title AS title, CASE WHEN e.kind = 'name' THEN split(substr(e.match, length(e.title) + 1), ' ') ELSE array(e.match) END AS words))")
-    own = F.expr("flatten(transform(filter(es, e -> e.kind = 'name'), e -> transform(e.words, w -> lower(w))))")
-    kept = F.expr("filter(es, e -> e.kind <> '' OR array_contains(own, lower(e.words[0])))")
-    return matches.withColumn("es", es).withColumn("es", words).withColumn("own", own).withColumn("es", kept).drop("own")
+    """(doc_id, t, i, kind, title, words): the entities of docs (doc_id, t, text, own), each with its
+    place among the pieces of its text; a capitalised word that is no name here is none."""
+    placed = docs.select("doc_id", "t", "own", F.posexplode(pieces()).alias("i", "match")).withColumn("plain", F.col("match").rlike(f"^{_NAME}$"))
+    kept = placed.where(~F.col("plain") | F.array_contains("own", F.lower("match"))).drop("own").distinct()
+    kind = F.when(F.col("plain"), "name").otherwise(kind_of(F.col("match")))
+    kept = kept.withColumn("kind", kind).withColumn("title", F.when((F.col("kind") == "name") & ~F.col("plain"), F.regexp_extract("match", rf"^{_TITLE}\.? ", 0)).otherwise(""))
+    words = F.when((F.col("kind") == "name") & ~F.col("plain"), F.split(F.expr("substr(match, length(title) + 1)"), " ")).otherwise(F.array("match"))
+    return kept.select("doc_id", "t", "i", "kind", "title", words.alias("words"))
 
 
 def genders(words: DataFrame) -> DataFrame:
@@ -182,19 +194,20 @@ def replace_personal_data(docs: DataFrame, key: str, id_col: str = "doc_id", tex
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     has = F.coalesce(F.col("text").rlike(COMBINED), F.lit(False))
     path = scratch(docs.sparkSession, "with-entities")
-    docs.where(has).withColumn("t", F.xxhash64("text")).write.option("compression", "zstd").parquet(path)
-    some = docs.sparkSession.read.parquet(path)
+    # Dealt anew: expressions cost far more than the bytes that they are read from tell.
+    docs.where(has).repartition(partitions(docs.sparkSession)).withColumns({"t": F.xxhash64("text"), "own": own_names()}).write.option("compression", "zstd").parquet(path)
+    some = docs.sparkSession.read.parquet(path).repartition(partitions(docs.sparkSession))
     # Rows that are the same in id and text have the same result: one of them is looked up.
-    placed = found_in(some).select("doc_id", "t", F.explode("es").alias("e")).select("doc_id", "t", "e.*")
-    words = placed.select("doc_id", "t", "i", "title", F.when(F.col("kind") == "", "name").otherwise(F.col("kind")).alias("kind"), F.size("words").alias("n"), F.posexplode("words").alias("k", "spelt"))
-    words = written(words.distinct().withColumn("value", canonical(F.col("kind"), F.col("spelt"))), "entities")
+    words = found_in(some).select("doc_id", "t", "i", "title", "kind", F.size("words").alias("n"), F.posexplode("words").alias("k", "spelt"))
+    words = written(words.withColumn("value", canonical(F.col("kind"), F.col("spelt"))), "entities")
     names = assigned(written(genders(words), "distinct"), key).withColumnRenamed("surrogate", "new")
     spelt = words.join(names, ["kind", "value"]).withColumn("new", written_as("spelt", "new"))
     joined = spelt.groupBy("doc_id", "t", "i").agg(F.first("title").alias("title"), F.first("kind").alias("found"), F.array_sort(F.collect_list(F.struct("k", "new"))).alias("parts"))
     told = joined.select("doc_id", "t", F.struct("i", "found", F.concat("title", F.array_join("parts.new", " ")).alias("new")).alias("e"))
     by_row = told.groupBy("doc_id", "t").agg(F.array_sort(F.collect_list("e")).alias("es")).select(F.col("doc_id").alias("id2"), F.col("t").alias("t2"), "es")
     full = some.join(by_row, some["doc_id"].eqNullSafe(by_row["id2"]) & (some["t"] == by_row["t2"]))
-    cut = full.select("doc_id", "es", F.split("text", EXTENDED, -1).alias("between"), F.regexp_extract_all("text", F.lit(EXTENDED), F.lit(0)).alias("matches"), F.map_from_entries(F.transform("es", lambda e: F.struct(e["i"], e["new"]))).alias("new"))
+    between = F.when(F.size("own") > 0, F.split("text", EXTENDED, -1)).otherwise(F.split("text", COMBINED, -1))
+    cut = full.select("doc_id", "es", between.alias("between"), pieces().alias("matches"), F.map_from_entries(F.transform("es", lambda e: F.struct(e["i"], e["new"]))).alias("new"))
     put = F.expr("array_join(transform(between, (x, i) -> concat(x, coalesce(new[i], get(matches, i), ''))), '')")
     changed = cut.select("doc_id", put.alias("text"), F.col("es.found").alias("kinds"))
     return docs.where(~has).select("doc_id", "text", F.expr("cast(array() AS array<string>)").alias("kinds")).unionByName(changed)
