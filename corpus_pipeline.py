@@ -4,8 +4,8 @@ Each stage takes (spark, docs, sf_dir), works on all that the one before has kep
 DataFrame; all but the last return the columns of documents. Each result is written to the shared
 folder and read again, so a lost executor costs no more than its stage.
 
-Null and empty texts pass every filter; an empty table makes an empty result; the defined results of
-each stage's operator hold.
+Null and empty texts pass every filter; an empty table makes an empty result; rows are judged by their
+own texts, so ids may repeat or be missing; the defined results of each stage's operator hold.
 """
 
 from __future__ import annotations
@@ -47,7 +47,8 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("toxicity", toxicity), ("near_dedup", near_dedup), ("decontamination", decontamination), ("mixture", mixture), ("tokens", tokens)]
 
-#: Tokenisation, MinHash and the toxicity model have no SQL form: tests compare with brute force.
+#: Tokenisation, MinHash and the toxicity model have no SQL form: tests compare with the rows expected
+#: of a small corpus, stage by stage in tests/llm/test_rows.py and whole in test_operators.py.
 ORACLE_SQL = None
 
 
