@@ -56,3 +56,29 @@ def test_contaminated_rows(spark, tmp_path):
     docs = table(spark, rows).withColumn("words", F.lit("own"))
     out = decontamination(spark, docs, str(tmp_path))
     assert out.columns == docs.columns and kept(out) == [1, 3, 4, 5]
+
+
+def test_pipeline_of_nothing(spark, tmp_path):
+    import corpus_pipeline
+
+    table(spark, [(1, "a")]).where("false").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_stages_keep_repeated_rows_apart(spark, tmp_path):
+    """Extra columns with clashing names pass all stages; repeated clean rows are near duplicates of each
+    other, so one of them stays."""
+    import corpus_pipeline
+
+    rng = random.Random(5)
+    text = lambda: " ".join(f"w{rng.randrange(10**6)}" for _ in range(40))
+    a, b = text(), text()
+    rows = table(spark, [(1, a), (1, a), (1, b), (None, text()), (None, None), (None, None)])
+    spark.createDataFrame([(1, text())], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    for name, stage in corpus_pipeline.STAGES[:3]:
+        rows = corpus_pipeline.written(stage(spark, rows, str(tmp_path)), name)
+    out = kept(rows)
+    assert len({0, 1} & set(out)) == 1 and [n for n in out if n > 1] == [2, 3, 4, 5]
