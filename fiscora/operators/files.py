@@ -4,11 +4,13 @@ until sources.apply.apply_plan() is called with it, and every plan says so (woul
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fiscora.functions.text import path_token
 from fiscora.operators.filename import corrected_path, fiscal_key
+from fiscora.operators.ranks import ranked
+from fiscora.sources.scratch import materialised
 
 
 def is_pdf(mime: Column, name: Column) -> Column:
@@ -30,15 +32,33 @@ def dedup_plan(files: DataFrame) -> DataFrame:
     return exact_duplicates(files).select(F.lit("would_remove").alias("status"), F.col("duplicate").alias("source"), F.col("survivor").alias("destination"), F.lit("identical content").alias("detail"))
 
 
+#: A name that carries a number: what it would be without it, and the number.
+NUMBERED = r"^(.*)_([1-9][0-9]{0,8})(\.[^./]*)?$"
+
+
 def free_names(wanted: DataFrame, taken: DataFrame) -> DataFrame:
-    """P5: wanted (source, destination) with `final`: the destination, or with _2, _3 ... before the
-    extension where it is taken or wanted by an earlier source."""
-    busy = taken.select(F.col("path").alias("destination")).distinct().withColumn("busy", F.lit(1))
-    nth = F.row_number().over(Window.partitionBy("destination").orderBy("source"))
-    joined = wanted.join(busy, "destination", "left").withColumn("n", nth + F.coalesce("busy", F.lit(0)))
-    suffixed = F.regexp_replace("destination", r"(\.[^./]*)?$", "")
-    final = F.when(F.col("n") == 1, F.col("destination")).otherwise(F.concat(suffixed, F.lit("_"), F.col("n").cast("string"), F.regexp_extract("destination", r"(\.[^./]*)$", 1)))
-    return joined.withColumn("final", final).drop("busy", "n")
+    """P5: wanted (source, destination) with `final`: the destination for the first source that asks for
+    it where no file is there, else the destination with the first free number from 2 on before its
+    extension. A name that any source asks for is kept for the first of these, so the numbers do not
+    depend on which name is looked at first.
+
+    The k-th source left over gets the k-th free number. Let the taken numbers of a name stand in order,
+    each with how many numbers below it are free; then k plus the taken numbers with fewer than k free
+    ones below is the k-th free one, and that sum is a rank in both lists merged."""
+    busy = taken.select(F.col("path").alias("destination")).distinct()
+    asked = ranked(wanted, "destination", ["source"], "_nth").join(busy.withColumn("_busy", F.lit(1)), "destination", "left")
+    asked = materialised(asked.withColumn("_k", F.col("_nth") - F.when(F.col("_busy").isNull(), 1).otherwise(0)).drop("_nth", "_busy"), "asked")
+    left = asked.where("_k > 0")
+    names = busy.unionByName(asked.select("destination")).distinct()
+    part = lambda i: F.regexp_extract("destination", NUMBERED, i)
+    numbers = names.where(F.col("destination").rlike(NUMBERED)).select(F.concat(part(1), part(3)).alias("destination"), part(2).cast("long").alias("number")).where("number > 1")
+    numbers = ranked(numbers.join(left.select("destination").distinct(), "destination", "left_semi"), "destination", ["number"], "j")
+    both = left.select("destination", F.col("_k").alias("at"), F.lit(0).alias("kind"), "source").unionByName(numbers.select("destination", (F.col("number") - F.col("j") - 1).alias("at"), F.lit(1).alias("kind")), allowMissingColumns=True)
+    given = ranked(both, "destination", ["at", "kind"], "r").where("kind = 0").select("destination", F.col("at").alias("_k"), (F.col("r") + 1).alias("_number"))
+    joined = asked.join(given, ["destination", "_k"], "left")
+    stem, extension = F.regexp_replace("destination", r"(\.[^./]*)?$", ""), F.regexp_extract("destination", r"(\.[^./]*)$", 1)
+    final = F.when(F.col("_number").isNull(), F.col("destination")).otherwise(F.concat(stem, F.lit("_"), F.col("_number").cast("string"), extension))
+    return joined.withColumn("final", final).drop("_k", "_number")
 
 
 def move_plan(wanted: DataFrame, inventory: DataFrame) -> DataFrame:

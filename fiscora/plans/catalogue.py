@@ -70,6 +70,12 @@ def q_issuer_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return issuer.issuer_identity(_docs(spark, sf_dir), render.RECEIVER_ID, RECEIVER_NAME).select("doc_key", "tax_id", "name")
 
 
+def q_issuer_layouts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fifteen families of layouts, some of which tell no issuer."""
+    docs = render.issuer_pages(spark, sf_dir).select("doc_key", "text", "hint")
+    return issuer.issuer_identity(docs, render.RECEIVER_ID, RECEIVER_NAME, hint="hint").select("doc_key", "tax_id", "name", "score")
+
+
 def q_evidence_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two degraded readings: one without the number line in three of four documents, one without
     the date line in two of three."""
@@ -274,6 +280,17 @@ def q_destinations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.free_names(wanted, taken).select("source", "final")
 
 
+#: Parts go where names with numbers are, some of which are asked for as such.
+_ASKED = "SELECT concat('p', lpad(cast(p_partkey AS string), 9, '0')) AS source, CASE WHEN p_partkey % 11 = 0 THEN concat('D/', cast(p_size AS string), '_', cast(2 + p_partkey % 7 AS string), '.pdf') ELSE concat('D/', cast(p_size AS string), '.pdf') END AS destination FROM __part__"
+_THERE = "SELECT concat('D/', cast(p_size AS string), CASE WHEN p_partkey % 3 = 0 THEN '' ELSE concat('_', cast(p_partkey % 17 AS string)) END, '.pdf') AS path FROM __part__ WHERE p_partkey % 5 = 0 AND p_size % 2 = 0"
+
+
+def q_free_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = read(spark, sf_dir, "part")
+    rows = [spark.sql(q.replace("__part__", "{part}"), part=part) for q in (_ASKED, _THERE)]
+    return files.free_names(*rows).select("source", "final")
+
+
 def q_move_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents go where half of them are already; some with other content."""
     facts = render.facts(spark, sf_dir)
@@ -421,6 +438,7 @@ SQL = {
     "q_tax_id_extract": f"SELECT doc_key, concat(supplier_tax_id, ',', {_SHOWN_RECEIVER}) AS ids FROM ({FACTS})",
     "q_tax_profile": f"SELECT supplier_tax_id, min(legal_name) AS supplier_name, false AS vat_27, bool_or(doc_key % 2 = 0) AS vat_21, bool_or(doc_key % 2 = 1) AS vat_10_5, false AS vat_perception, bool_or(doc_key % 7 = 0) AS iibb_caba_perception, false AS iibb_bsas_perception, bool_or(doc_key % 11 = 0) AS internal_taxes, count(*) AS invoices_analyzed FROM ({FACTS}) GROUP BY 1",
     "q_issuer_identity": f"SELECT doc_key, supplier_tax_id AS tax_id, legal_name AS name FROM ({FACTS})",
+    "q_issuer_layouts": f"SELECT doc_key, supplier_tax_id AS tax_id, issuer AS name, score FROM ({render.issuer_pages_sql()}) WHERE issuer IS NOT NULL",
     "q_evidence_fusion": f"SELECT doc_key, kind AS document_type, letter AS fiscal_letter, document_number FROM ({FACTS})",
     "q_filename_evidence": f"SELECT doc_key, {_case([e[0] for e in _EXPECTED])} AS document_type, {_case([e[1] for e in _EXPECTED])} AS fiscal_letter, CASE WHEN doc_key % 14 < 13 THEN document_number END AS document_number, {_case([e[2] for e in _EXPECTED])} AS method FROM ({FACTS})",
     "q_name_fusion": f"SELECT doc_key, kind AS document_type, letter AS fiscal_letter, document_number FROM ({FACTS})",
@@ -458,6 +476,11 @@ CASE doc_key % 6 WHEN 5 THEN concat('_Listas_De_Precios/', name) WHEN 4 THEN con
     "q_exact_duplicates": _DUPLICATES,
     "q_dedup_plan": f"SELECT 'would_remove' AS status, duplicate AS source, survivor AS destination, 'identical content' AS detail FROM ({_DUPLICATES})",
     "q_destinations": "SELECT n_name AS source, CASE WHEN k + b = 1 THEN concat('D/', cast(n_regionkey AS string), '.pdf') ELSE concat('D/', cast(n_regionkey AS string), '_', cast(k + b AS string), '.pdf') END AS final FROM (SELECT n_name, n_regionkey, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_name) AS k, CASE WHEN n_regionkey % 2 = 0 THEN 1 ELSE 0 END AS b FROM nation)",
+    "q_free_numbers": f"""WITH a AS ({_ASKED.replace('__part__', 'part')}), t AS (SELECT DISTINCT path FROM ({_THERE.replace('__part__', 'part')})), o AS (SELECT path FROM t UNION SELECT destination FROM a),
+w AS (SELECT source, destination, row_number() OVER (PARTITION BY destination ORDER BY source) - CASE WHEN path IS NULL THEN 1 ELSE 0 END AS k FROM a LEFT JOIN t ON path = destination),
+f AS (SELECT destination, n, row_number() OVER (PARTITION BY destination ORDER BY n) AS k FROM (SELECT destination, unnest(generate_series(2, max(k) + 30)) AS n FROM w WHERE k > 0 GROUP BY destination) AS g
+  WHERE NOT EXISTS (SELECT 1 FROM o WHERE path = concat(substr(destination, 1, length(destination) - 4), '_', cast(n AS string), '.pdf')))
+SELECT source, CASE WHEN k = 0 THEN destination ELSE concat(substr(destination, 1, length(destination) - 4), '_', cast(n AS string), '.pdf') END AS final FROM w LEFT JOIN f USING (destination, k)""",
     "q_move_plan": f"SELECT CASE WHEN doc_key % 4 = 0 THEN 'duplicate_removed' WHEN doc_key % 2 = 0 THEN 'fiscal_conflict' ELSE 'moved' END AS status, count(*) AS n FROM ({FACTS}) GROUP BY 1",
     "q_folder_alias_plan": "SELECT 'movido' AS status, concat('OLD_', cast(n_regionkey AS string), '/', n_name, '.pdf') AS source, concat(replace(r_name, ' ', '_'), '/', n_name, '.pdf') AS destination FROM nation JOIN region ON n_regionkey = r_regionkey",
     "q_new_attachments": "WITH p AS (SELECT p_partkey, p_size, concat(cast(p_partkey AS string), CASE p_partkey % 3 WHEN 0 THEN '.PDF' WHEN 1 THEN '.txt' ELSE '.bin' END) AS name FROM part) SELECT name, CASE WHEN p_size > 25 THEN 'ya_existia' ELSE 'guardado' END AS status FROM p WHERE p_partkey % 3 = 0 OR p_partkey % 6 = 2",

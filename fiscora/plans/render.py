@@ -100,3 +100,62 @@ def invoices(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _query(spark, sf_dir, FACTS)
+
+
+#: Families of layouts that tell an issuer, or should not: what stands on the page, a hint, and the name
+#: and score that are due. PAGE_LINES count three points.
+PAGE_LINES = f"'PUNTO DE VENTA 0001', {_NL}, 'Inicio de actividades 01/01/2000', {_NL}"
+_MARK = "translate(cast(s_suppkey AS string), '0123456789', 'ABCDEFGHIJ')"
+_HOUSE, _TOWER, _ID, _OTHER_ID = "house", "tower", "supplier_tax_id", "other_tax_id"
+_FILL = f"'Domicilio', {_NL}, 'Cantidad', {_NL}, 'Descripción', {_NL}"
+ISSUERS = (
+    # After a mark of copies.
+    (f"'ORIGINAL', {_NL}, {_HOUSE}, {_NL}, 'CUIT: ', {_ID}, {_NL}, {PAGE_LINES}", _HOUSE, 32),
+    # Below a label, the id below its own.
+    (f"'FACTURA A', {_NL}, 'Razón Social', {_NL}, {_HOUSE}, {_NL}, 'Domicilio', {_NL}, 'CUIT', {_NL}, {_ID}, {_NL}, {PAGE_LINES}", _HOUSE, 27),
+    # A consortium in pieces.
+    (f"'CONSORCIO', {_NL}, 'COPROPIETARIOS', {_NL}, 'Edificio ', {_TOWER}, {_NL}, 'CUIT: ', {_ID}, {_NL}, {PAGE_LINES}", f"concat('CONSORCIO COPROPIETARIOS EDIFICIO ', {_TOWER})", 31),
+    # A consortium in one line, with the fraction of its address.
+    (f"'Beneficiario: Consorcio de ', {_TOWER}, ' 703/787', {_NL}, 'CUIT: ', {_ID}, {_NL}, {PAGE_LINES}", f"concat('CONSORCIO DE ', {_TOWER})", 35),
+    # An explicit name one point ahead of a composed one.
+    (f"'CONSORCIO', {_NL}, 'COPROPIETARIOS', {_NL}, {_TOWER}, {_NL}, {_FILL}, 'Razón social: ', {_HOUSE}, {_NL}, 'CUIT: ', {_ID}, {_NL}, {PAGE_LINES}", _HOUSE, 30),
+    # Two explicit names.
+    (f"'Razón social: ', {_HOUSE}, {_NL}, 'CUIT: ', {_ID}, {_NL}, 'Razón social: OTRA CASA ', {_TOWER}, ' SRL', {_NL}, {PAGE_LINES}", None, None),
+    # Two third-party ids.
+    (f"'ORIGINAL', {_NL}, {_HOUSE}, {_NL}, 'CUIT: ', {_ID}, {_NL}, 'CUIT transporte: ', {_OTHER_ID}, {_NL}, {PAGE_LINES}", None, None),
+    # The id by a hint only.
+    (f"'ORIGINAL', {_NL}, {_HOUSE}, {_NL}, 'Domicilio', {_NL}, {PAGE_LINES}", _HOUSE, 23),
+    # A valid id beside the receiver's name is the receiver's.
+    (f"'ORIGINAL', {_NL}, {_HOUSE}, {_NL}, 'CUIT: ', {_ID}, {_NL}, 'Cliente RECEPTORA DE PRUEBA SRL', {_NL}, 'CUIT: ', {_OTHER_ID}, {_NL}, {PAGE_LINES}", _HOUSE, 32),
+    # The issuer's id by its label, nothing else on the page.
+    (f"{_HOUSE}, {_NL}, 'CUIT EMISOR: ', {_ID}, {_NL}, 'Motivo devolución de envases', {_NL}", _HOUSE, 31),
+    # The kind of the document glued to the name.
+    (f"'Nota de Crédito ', {_HOUSE}, {_NL}, 'CUIT: ', {_ID}, {_NL}, {PAGE_LINES}", _HOUSE, 28),
+    # Far from the id, and nothing else.
+    (f"{_HOUSE}, {_NL}, repeat(concat('Subtotal', {_NL}), 22), 'X ', {_ID}, {_NL}", None, None),
+    # An address is no name.
+    (f"'Calle Falsa Piso ', {_TOWER}, {_NL}, 'CUIT: ', {_ID}, {_NL}, {PAGE_LINES}", None, None),
+    # A trade name gives way to the legal one.
+    (f"'Nombre de fantasía: Bar ', {_TOWER}, {_NL}, 'Razón social: ', {_HOUSE}, {_NL}, 'CUIT: ', {_ID}, {_NL}, {PAGE_LINES}", _HOUSE, 30),
+    # The receiver's id alone.
+    (f"'ORIGINAL', {_NL}, {_HOUSE}, {_NL}, 'CUIT 30-71111111-1', {_NL}, {PAGE_LINES}", None, None),
+)
+HINTED = 7
+
+
+def _by_family(values: list) -> str:
+    return f"CASE doc_key % {len(ISSUERS)} " + " ".join(f"WHEN {i} THEN {v}" for i, v in enumerate(values) if v is not None) + " END"
+
+
+ISSUER_PAGES = f"""SELECT *, {_by_family([f'concat({text})' for text, _, _ in ISSUERS])} AS text, CASE WHEN doc_key % {len(ISSUERS)} = {HINTED} THEN {_ID} END AS hint,
+  {_by_family([name for _, name, _ in ISSUERS])} AS issuer, {_by_family([score for _, _, score in ISSUERS])} AS score
+FROM (SELECT doc_key, supplier_tax_id, {dashed(tax_id('(s_suppkey + 1)'))} AS other_tax_id, concat('ALMACEN K', {_MARK}, ' SRL') AS house, concat('TORRE K', {_MARK}) AS tower FROM __facts__) AS f"""
+
+
+def issuer_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    dealt = facts(spark, sf_dir).repartition(spark.sparkContext.defaultParallelism, "doc_key")
+    return spark.sql(ISSUER_PAGES.replace("__facts__", "{facts}"), facts=dealt)
+
+
+def issuer_pages_sql() -> str:
+    return ISSUER_PAGES.replace("__facts__", f"({facts_sql()}) AS x")
