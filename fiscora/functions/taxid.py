@@ -16,7 +16,10 @@ def digits(c: Column) -> Column:
 
 def valid(c: Column) -> Column:
     """Whether eleven digits end in the right check digit; 10 counts as 9, 11 as 0."""
-    d = digits(c)
+    return _checked(digits(c))
+
+
+def _checked(d: Column) -> Column:
     total = sum((F.substring(d, i + 1, 1).cast("int") * w for i, w in enumerate(WEIGHTS)), F.lit(0))
     rest = 11 - F.pmod(total, F.lit(11))
     check = F.when(rest == 11, 0).when(rest == 10, 9).otherwise(rest)
@@ -25,7 +28,10 @@ def valid(c: Column) -> Column:
 
 def formatted(c: Column) -> Column:
     """NN-NNNNNNNN-N of any eleven digits, else null."""
-    d = digits(c)
+    return _dashed(digits(c))
+
+
+def _dashed(d: Column) -> Column:
     return F.when(F.length(d) == 11, F.concat(F.substring(d, 1, 2), F.lit("-"), F.substring(d, 3, 8), F.lit("-"), F.substring(d, 11, 1)))
 
 
@@ -35,7 +41,9 @@ def formatted_valid(c: Column) -> Column:
 
 def valid_in(text: Column) -> Column:
     """Distinct valid ids of a text, in order."""
-    return F.array_distinct(F.filter(F.transform(F.regexp_extract_all(text, F.lit(SHAPE), F.lit(1)), formatted_valid), lambda x: x.isNotNull()))
+    # The digits alone are bound first: both functions name them many times.
+    found = F.transform(F.transform(F.regexp_extract_all(text, F.lit(SHAPE), F.lit(1)), digits), lambda d: F.when(_checked(d), _dashed(d)))
+    return F.array_distinct(F.filter(found, lambda x: x.isNotNull()))
 
 
 def all_in(text: Column) -> Column:
