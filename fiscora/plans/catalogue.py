@@ -87,6 +87,25 @@ def q_evidence_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fusion.fused_fields(passes, ("document_type", "fiscal_letter", "document_number")).select("doc_key", "document_type", "fiscal_letter", "document_number")
 
 
+#: Readings of one document: [text of pass psm_3, text of pass psm_6], and which method is due. The families
+#: are: a half each, of which both make one; the second adds nothing; what the second adds makes no
+#: better score than the first has alone; no text at all.
+_TITLE_LINE = "concat(kind, ' ', letter, chr(10), 'Nro. ', document_number, chr(10))"
+_DATE_LINES = "concat('Razón social: ', house, chr(10), 'CUIT: ', supplier_tax_id, chr(10), 'Fecha de Emisión: ', issue_date, chr(10), 'PUNTO DE VENTA 0001', chr(10), 'Inicio de actividades', chr(10))"
+_READ = f"""SELECT doc_key, kind, letter, document_number, issue_date, house, supplier_tax_id,
+  CASE doc_key % 4 WHEN 0 THEN concat({_TITLE_LINE}, 'IVA CAE TOTAL FACTURA') WHEN 1 THEN concat({_TITLE_LINE}, {_DATE_LINES}, 'IVA CAE TOTAL FACTURA') WHEN 2 THEN concat({_TITLE_LINE}, {_DATE_LINES}, 'IVA CAE TOTAL FACTURA') ELSE ' ' END AS a,
+  CASE doc_key % 4 WHEN 0 THEN {_DATE_LINES} WHEN 1 THEN {_TITLE_LINE} WHEN 2 THEN 'apenas unas manchas' END AS b
+FROM (SELECT *, concat('ALMACEN K', translate(cast(s_suppkey AS string), '0123456789', 'ABCDEFGHIJ'), ' SRL') AS house FROM __facts__) AS f"""
+
+
+def q_reading_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fold over the readings of each document, and the header of what it gives."""
+    rows = spark.sql(_READ.replace("__facts__", "{facts}"), facts=render.facts(spark, sf_dir).repartition(2 * spark.sparkContext.defaultParallelism))
+    passes = rows.select("doc_key", F.explode(F.array(F.struct(F.lit("psm_3").alias("method"), F.col("a").alias("text")), F.struct(F.lit("psm_6").alias("method"), F.col("b").alias("text")))).alias("p")).select("doc_key", "p.*")
+    fused = fusion.fused_reading(passes, render.RECEIVER_ID, RECEIVER_NAME)
+    return header.with_header(fused).select("doc_key", "method", "document_type", "fiscal_letter", "document_number", "issue_date", F.sha2("text", 256).alias("text_sha256"))
+
+
 # Names and paths ----------------------------------------------------------------------------------
 
 _STYLES = ("concat('FC A ', pv, '-', num, ' x.pdf')", "concat('NCB', pv, num, '.pdf')", "concat('FACC', pv, num, '_ORIG.pdf')", "concat('factura_ARCA_A_', pv, '-', num, '.pdf')", "concat('Comprobante-FCVTA-B-', point, '-', number_, '.pdf')", "concat('Nota de Crédito N° A-', pv, '-', num, '.pdf')", "concat('N_DA', pv, num, '.pdf')", "concat('Venta_A', pv, '-', num, '.pdf')", "concat('N CB', pv, num, '.pdf')", "concat('V072_FACT_A', pv, num, '.pdf')", "concat(tax_digits, '_C-', pv, '-', num, '.pdf')", "concat(tax_digits, '_011_', pv, '_', num, '.pdf')", "concat('Factura ', pv, '-', num, '.pdf')", "concat('lista ', num, '.pdf')")
@@ -440,6 +459,9 @@ SQL = {
     "q_issuer_identity": f"SELECT doc_key, supplier_tax_id AS tax_id, legal_name AS name FROM ({FACTS})",
     "q_issuer_layouts": f"SELECT doc_key, supplier_tax_id AS tax_id, issuer AS name, score FROM ({render.issuer_pages_sql()}) WHERE issuer IS NOT NULL",
     "q_evidence_fusion": f"SELECT doc_key, kind AS document_type, letter AS fiscal_letter, document_number FROM ({FACTS})",
+    "q_reading_fusion": f"""SELECT doc_key, CASE doc_key % 4 WHEN 0 THEN 'fusion_ocr[psm_3+psm_6]' WHEN 3 THEN 'sin_ocr' ELSE 'psm_3' END AS method, CASE WHEN doc_key % 4 < 3 THEN kind END AS document_type, CASE WHEN doc_key % 4 < 3 THEN letter END AS fiscal_letter,
+CASE WHEN doc_key % 4 < 3 THEN document_number END AS document_number, CASE WHEN doc_key % 4 < 3 THEN issue_date END AS issue_date,
+sha256(CASE doc_key % 4 WHEN 0 THEN concat(trim(a), chr(10), chr(10), 'RAZON SOCIAL: ', house, chr(10), 'CUIT EMISOR: ', supplier_tax_id, chr(10), 'FECHA DE EMISION: ', issue_date) WHEN 3 THEN '' ELSE a END) AS text_sha256 FROM ({_READ.replace('__facts__', '(' + FACTS + ')')})""",
     "q_filename_evidence": f"SELECT doc_key, {_case([e[0] for e in _EXPECTED])} AS document_type, {_case([e[1] for e in _EXPECTED])} AS fiscal_letter, CASE WHEN doc_key % 14 < 13 THEN document_number END AS document_number, {_case([e[2] for e in _EXPECTED])} AS method FROM ({FACTS})",
     "q_name_fusion": f"SELECT doc_key, kind AS document_type, letter AS fiscal_letter, document_number FROM ({FACTS})",
     "q_canonical_name": f"SELECT doc_key, concat(replace(legal_name, ' ', '_'), '/', substr(issue_date, 7, 4), '/', substr(issue_date, 4, 2)) AS folder, concat(substr(issue_date, 1, 2), '-', substr(issue_date, 4, 2), fiscal_code, document_number, '_RECEPTORA_', replace(legal_name, ' ', '_'), '.pdf') AS file_name, concat(fiscal_code, ':', replace(document_number, '-', ':')) AS fiscal_key FROM ({FACTS})",
