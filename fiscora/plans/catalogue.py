@@ -278,6 +278,31 @@ def q_process_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plans.process(docs, known, render.RECEIVER_ID, RECEIVER_NAME).select("doc_key", "status", "fiscal_code", "document_number", "issue_date", "destination")
 
 
+#: Documents whose names tell a category but whose texts tell nothing, failed ones, and ones that a second
+#: reading, a rule for names, a listed issuer or the layout completes.
+_PENDING_CASES = f"""SELECT doc_key, kind, letter, document_number, issue_date, fiscal_code, supplier_tax_id, legal_name, house,
+  CASE doc_key % 8 WHEN 0 THEN 'CCF_0001.pdf' WHEN 1 THEN 'Transferencia 1.pdf' WHEN 2 THEN 'Lista de precios.pdf' WHEN 4 THEN concat('regla-', cast(s_suppkey AS string), '.pdf') ELSE 'x.pdf' END AS name,
+  CASE doc_key % 8 WHEN 0 THEN ' ' WHEN 2 THEN 'Lista de precios actualizada: presentación, precio sugerido' WHEN 3 THEN concat({_TITLE_LINE}, 'CUIT: ', supplier_tax_id, chr(10), 'IVA CAE TOTAL') WHEN 4 THEN concat({_TITLE_LINE}, 'Fecha de Emisión: ', issue_date, chr(10), 'IVA CAE TOTAL')
+    WHEN 5 THEN concat('ORIGINAL', chr(10), house, chr(10), 'CUIT: ', other_tax_id, chr(10), {_TITLE_LINE}, 'Fecha de Emisión: ', issue_date, chr(10), 'PUNTO DE VENTA 0001 IVA CAE TOTAL') WHEN 6 THEN concat({_TITLE_LINE}, 'Firma de la casa', chr(10), 'Fecha de Emisión: ', issue_date, chr(10), 'IVA CAE TOTAL')
+    WHEN 7 THEN 'Comprobante de transferencia, certificado de retencion' END AS text,
+  CASE doc_key % 8 WHEN 0 THEN 'ocr_sin_texto' WHEN 1 THEN 'sin_ocr' END AS read_status, CASE WHEN doc_key % 8 = 2 THEN 'ValueError: roto' END AS error,
+  CASE WHEN doc_key % 8 IN (3, 4) THEN concat('Nota de Débito C', chr(10), 'Nro. 00009-00000009', chr(10), 'Fecha de Emisión: ', issue_date, chr(10), 'CAE TOTAL') END AS second_text
+FROM (SELECT *, {render.dashed(render.tax_id('(s_suppkey + 5000)'))} AS other_tax_id, concat('ALMACEN K', translate(cast(s_suppkey AS string), '0123456789', 'ABCDEFGHIJ'), ' SRL') AS house FROM __facts__) AS f"""
+
+
+def q_process_pending(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Error rows, texts that are not there, and every way to complete a document."""
+    rows = spark.sql(_PENDING_CASES.replace("__facts__", "{facts}"), facts=render.facts(spark, sf_dir).repartition(2 * spark.sparkContext.defaultParallelism))
+    supplier = read(spark, sf_dir, "supplier")
+    names = supplier.select(F.concat(F.lit("^regla-"), F.col("s_suppkey").cast("string"), F.lit("[.]")).alias("pattern"), F.concat(F.lit("proveedor_"), F.col("s_suppkey").cast("string")).alias("value"), F.col("s_suppkey").alias("priority"))
+    listed = spark.createDataFrame([("(?i)firma de la casa", "CASA DE LA FIRMA SA", "30-00000003-1", 1)], "pattern string, legal_name string, tax_id string, priority int")
+    known = _suppliers(spark, sf_dir).withColumn("folder_name", F.lit(None).cast("string")).withColumn("display_name", F.col("legal_name"))
+    rules = plans.Rules(names=names, issuers=listed)
+    second = rows.select("doc_key", F.col("second_text").alias("text")).where("text IS NOT NULL")
+    out = plans.process(rows, known, render.RECEIVER_ID, RECEIVER_NAME, second=second, rules=rules)
+    return out.select("doc_key", "status", "category", "reason", "fiscal_code", "document_number", "issue_date", "supplier_name", "destination")
+
+
 # Files --------------------------------------------------------------------------------------------
 
 
@@ -493,6 +518,10 @@ CASE WHEN best IS NULL THEN 'sin_coincidencias' WHEN against THEN 'evidencia_con
 CASE WHEN best IS NULL OR against OR ties > 1 THEN 'ninguna' WHEN i AND l THEN 'alta' ELSE 'media' END AS confidence, coalesce(best, 0) AS score FROM ({FACTS}) AS f LEFT JOIN g ON f.doc_key = g.doc_key""",
     "q_process_documents": f"""SELECT doc_key, CASE doc_key % 6 WHEN 5 THEN 'archivado' WHEN 4 THEN 'pendiente' ELSE 'organizado' END AS status, fiscal_code, document_number, CASE WHEN doc_key % 6 < 4 THEN issue_date END AS issue_date,
 CASE doc_key % 6 WHEN 5 THEN concat('_Listas_De_Precios/', name) WHEN 4 THEN concat('_Pendientes/', name) ELSE concat(replace(legal_name, ' ', '_'), '/', substr(issue_date, 7, 4), '/', substr(issue_date, 4, 2), '/', substr(issue_date, 1, 2), '-', substr(issue_date, 4, 2), fiscal_code, document_number, '_RECEPTORA_DE_PRUEBA_', replace(legal_name, ' ', '_'), '.pdf') END AS destination FROM ({INVOICES})""",
+    "q_process_pending": f"""SELECT doc_key, CASE WHEN r < 2 THEN 'pendiente' WHEN r = 2 THEN 'error' WHEN r = 7 THEN 'archivado' ELSE 'organizado' END AS status, CASE WHEN r < 2 THEN 'desconocido' WHEN r = 2 THEN 'error' WHEN r = 7 THEN 'retenciones_transferencias' ELSE 'factura' END AS category,
+CASE r WHEN 0 THEN 'el OCR no halló texto' WHEN 1 THEN 'no hay motor de OCR' WHEN 2 THEN 'ValueError: roto' WHEN 7 THEN 'categoría prioritaria' END AS reason, CASE WHEN r BETWEEN 3 AND 6 THEN fiscal_code END AS fiscal_code, CASE WHEN r BETWEEN 3 AND 6 THEN document_number END AS document_number,
+CASE WHEN r BETWEEN 3 AND 6 THEN issue_date END AS issue_date, s AS supplier_name, CASE WHEN r < 2 THEN concat('_Pendientes/', name) WHEN r = 7 THEN '_Retenciones_Transferencias/x.pdf' WHEN r BETWEEN 3 AND 6 THEN concat(replace(s, ' ', '_'), '/', substr(issue_date, 7, 4), '/', substr(issue_date, 4, 2), '/', substr(issue_date, 1, 2), '-', substr(issue_date, 4, 2), fiscal_code, document_number, '_RECEPTORA_DE_PRUEBA_', replace(s, ' ', '_'), '.pdf') END AS destination
+FROM (SELECT *, doc_key % 8 AS r, CASE WHEN doc_key % 8 IN (3, 4) THEN legal_name WHEN doc_key % 8 = 5 THEN house WHEN doc_key % 8 = 6 THEN 'CASA DE LA FIRMA SA' END AS s FROM ({_PENDING_CASES.replace('__facts__', '(' + FACTS + ')')}))""",
     "q_name_rules": f"SELECT doc_key, CASE WHEN name LIKE '%\\_003\\_%' ESCAPE '\\' OR name LIKE '%\\_006\\_%' ESCAPE '\\' THEN 'tres_o_seis' WHEN name LIKE '%\\_011\\_%' ESCAPE '\\' THEN 'once' ELSE 'chico' END AS value FROM ({INVOICES}) WHERE name LIKE '%\\_003\\_%' ESCAPE '\\' OR name LIKE '%\\_006\\_%' ESCAPE '\\' OR name LIKE '%\\_011\\_%' ESCAPE '\\' OR name LIKE '3000000000%'",
     "q_occasional_candidates": f"SELECT tax_digits, min(legal_name) AS name, count(DISTINCT concat(document_number, fiscal_code)) AS occurrences, min(issued) AS first_seen, max(issued) AS last_seen, count(DISTINCT concat(document_number, fiscal_code)) >= 3 AS review FROM ({FACTS}) WHERE s_suppkey % 2 = 1 GROUP BY 1",
     "q_exact_duplicates": _DUPLICATES,
