@@ -42,7 +42,8 @@ PART = re.compile(r"[^a-z0-9]+|(?<=[a-z])(?=[A-Z])")
 
 
 #: The share of a page's characters outside of links from which an element is text whatever its name, by how sure the name is.
-SURE, UNSURE = 0.8, 0.5
+SURE, UNSURE, ARTICLE = 0.8, 0.5, 0.3
+HIDDEN = re.compile(r"style\s*=\s*[\"'][^\"']*(?:display\s*:\s*none|visibility\s*:\s*hidden)", re.IGNORECASE)
 DOUBTFUL = frozenset("banner promo promotion promoted rail side header masthead notice notices notification alert popup modal overlay share sharing social widget form search legal disclaimer copyright tags skip related".split())
 
 
@@ -69,6 +70,16 @@ def limit_of(attrs: str) -> float | None:
     return limit
 
 
+def speaks_for(attrs: str) -> bool:
+    """Whether a whole word of a class or id says that this is the text, and nothing against it."""
+    for name, value in ATTRIBUTE.findall(attrs):
+        for word in value.strip("\"'").lower().split() if name.lower() in ("class", "id") else ():
+            parts = [p for p in PART.split(word) if p]
+            if any(p in FOR for p in parts) and not any(p in AGAINST for p in parts):
+                return True
+    return False
+
+
 class Page:
     """Blocks of text and the tree they stand in. Each character is looked at a bounded number of
     times, however deep, wrong or unclosed the markup is."""
@@ -133,6 +144,8 @@ class Page:
 
     def opened(self, tag: str, attrs: str) -> None:
         limit = limit_of(attrs) if attrs else None
+        if attrs and HIDDEN.search(attrs):
+            limit = max(limit or 0, SURE)
         if tag == "br":
             self.say(" ")
         elif tag in INLINE:
@@ -150,12 +163,16 @@ class Page:
             if tag in ("html", "body"):
                 return
             if tag in ("article", "main"):
-                limit = 2.0 if attrs and re.search(r"comment|repl(?:y|ies)|advert|teaser|related|promo", attrs) else None
+                # What is said against it is weighed as anywhere else, and less if its name speaks for it too.
+                if limit and limit < 1 and speaks_for(attrs):
+                    limit = ARTICLE
             elif tag[0] == "h" and tag[1:].isdigit() and top in ("header", "hgroup") and (self.open.get("article") or self.open.get("main")):
                 # The article's own heading stands outside of its header.
                 self.add(tag, None)
                 self.parents[-1] = self.parents[self.stack[-2]]
                 return
+            elif tag == "form":
+                limit = max(limit or 0, SURE)  # a whole page may stand in one
             elif tag in LEFT_OUT or tag == "header":
                 limit = 2.0
             self.add(tag, limit)
@@ -182,9 +199,12 @@ class Page:
         for k in range(1, n):
             up = self.parents[k]
             never[k] = never[up] or self.limits[k] == 2.0
-            article[k] = not never[k] and (article[up] or self.tags[k] in ("article", "main"))
         plain = [0.0 if never[k] else length[k] - linked[k] for k in range(n)]
-        held, inner = self.sums(plain), self.sums([x if article[k] else 0.0 for k, x in enumerate(plain)])
+        held = self.sums(plain)
+        for k in range(1, n):
+            large = not self.limits[k] or held[k] > self.limits[k] * held[0]
+            article[k] = not never[k] and (article[self.parents[k]] or self.tags[k] in ("article", "main") and large)
+        inner = self.sums([x if article[k] else 0.0 for k, x in enumerate(plain)])
         out = never.copy()
         for k in range(1, n):
             if not out[k] and (out[self.parents[k]] or self.limits[k] and (held[k] <= self.limits[k] * held[0] or inner[0] > inner[k])):
