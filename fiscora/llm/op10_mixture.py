@@ -13,7 +13,7 @@ copies follows from its own hashes and one row for each source; rows are not sor
 
 Defined results: without a budget, the smallest one that uses every document once; a null source is
 a source of its own; null and empty texts have no tokens; a source without tokens keeps each row
-once; repeated rows are taken or left together; an empty table gives an empty result; other columns
+once; rows with one id and one text are taken or left together, others each for themselves; an empty table gives an empty result; other columns
 stay as they are in mix_documents().
 """
 
@@ -84,7 +84,7 @@ def _hash(key: int, *columns) -> Column:
 
 
 def plan(stats: DataFrame, target: Target) -> DataFrame:
-    """One row for each source of stats (doc_id, src, n_tokens): weight, blocks, whole epochs, and
+    """One row for each source of stats (place, src, n_tokens): weight, blocks, whole epochs, and
     where its last, partial epoch is cut (hash of the cut block and of the last document in it)."""
     totals = written(stats.groupBy("src").agg(F.sum("n_tokens").cast("double").alias("tokens"), F.count("*").alias("docs")), "sources")
     total = totals.agg(F.sum("tokens")).first()[0] or 0.0
@@ -111,9 +111,14 @@ def plan(stats: DataFrame, target: Target) -> DataFrame:
 
 
 def placed_in(rows: DataFrame, sources: DataFrame, key: int) -> DataFrame:
-    """rows (doc_id, src, ...) with the columns of their source and the hashes that order them."""
-    block = F.pmod(_hash(key, "doc_id"), F.col("blocks"))
-    return rows.join(if_small(sources), "src").withColumn("block_hash", _hash(key + 1, "src", block)).withColumn("doc_hash", _hash(key + 2, "doc_id"))
+    """rows (place, src, ...) with the columns of their source and the hashes that order them."""
+    block = F.pmod(_hash(key, "place"), F.col("blocks"))
+    return rows.join(if_small(sources), "src").withColumn("block_hash", _hash(key + 1, "src", block)).withColumn("doc_hash", _hash(key + 2, "place"))
+
+
+def place(key: int) -> Column:
+    """What deals a row: its id and its text, so that rows without an id, or with the same one, are dealt apart."""
+    return _hash(key + 3, F.col("doc_id").cast("long"), "text").alias("place")
 
 
 def copies() -> Column:
@@ -123,21 +128,21 @@ def copies() -> Column:
     return F.col("whole") + F.coalesce(taken, F.lit(False)).cast("long")
 
 
-def token_stats(docs: DataFrame) -> DataFrame:
-    return written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), source_key(F.col("source")).alias("src"), token_count(F.col("text")).alias("n_tokens")), "tokens")
+def token_stats(docs: DataFrame, key: int) -> DataFrame:
+    return written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), place(key), source_key(F.col("source")).alias("src"), token_count(F.col("text")).alias("n_tokens")), "tokens")
 
 
 def mix_documents(docs: DataFrame, target: Target = Target()) -> DataFrame:
     """docs (doc_id, text, source, ...) with each row as often as the mixture takes it."""
-    sources = plan(token_stats(docs), target)
-    packed = docs.select(F.struct(*docs.columns).alias("row"), source_key(F.col("source")).alias("src"), F.col("doc_id").cast("long").alias("doc_id"))
+    sources = plan(token_stats(docs, target.key), target)
+    packed = docs.select(F.struct(*docs.columns).alias("row"), source_key(F.col("source")).alias("src"), place(target.key))
     taken = placed_in(packed, sources, target.key).withColumn("copies", copies()).where("copies > 0")
     return taken.select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select("row.*")
 
 
 def op10_mixture(docs: DataFrame, target: Target = Target()) -> DataFrame:
     """One row for each copy of a document: doc_id, source, n_tokens, epoch and the source's weight."""
-    stats = token_stats(docs)
+    stats = token_stats(docs, target.key)
     sources = plan(stats, target)
     taken = placed_in(stats, sources, target.key).withColumn("copies", copies()).where("copies > 0")
     return taken.select("doc_id", F.when(F.col("src") != "\0null", F.col("src")).alias("source"), "n_tokens", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("epoch"), "weight")
