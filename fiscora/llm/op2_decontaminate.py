@@ -124,5 +124,5 @@ def op2_decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 def uncontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """docs without the rows whose own text holds a window of benchmark; all columns stay."""
     rest = [c for c in docs.columns if c not in ("doc_id", "text")]
-    judged = decontaminate(docs, benchmark, rest=F.struct(F.lit(0).alias("_"), *rest)).where("size(item_ids) = 0")
+    judged = decontaminate(docs, benchmark, rest=F.struct(F.lit(0).alias("_decontamination_rest"), *rest)).where("size(item_ids) = 0")
     return judged.select(*[F.col(f"rest.`{c}`").alias(c) if c in rest else c for c in docs.columns])

@@ -15,7 +15,8 @@
 
 Defined results: without words (null, empty, white space) a document has the empty set and is
 linked with nothing; fewer words than a shingle make one shingle of all of them; exact repetitions
-are one class; an empty table gives an empty result; other columns are not read.
+are one class; an empty table gives an empty result; other columns are not read. Rows without an id are
+linked as all others; where a component has an id at all, they are not its kept row, and else all are kept.
 """
 
 from __future__ import annotations
@@ -40,7 +41,7 @@ BLOCK, BLOCK_BYTES = 512, 8 << 20
 MISSED = 1e-5
 BUFFER = 1 << 20
 #: The column of a row's own number.
-ROW = "_row"
+ROW = "_near_dedup_row"
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -318,13 +319,25 @@ def _with_sets(docs: DataFrame, members: DataFrame, k: int) -> DataFrame:
                 own = [hashlib.blake2b(s, digest_size=16).digest() == fp for s, fp in zip(sets, out.column("fp").to_pylist(), strict=True)]
                 yield out.filter(pa.array(own))
 
+    def nameless(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [x or b"" for x in batch.column(0).cast(pa.binary()).to_pylist()]
+            for a, b in pieces(texts):
+                sets = [s.tobytes() for s in shingle_sets(texts[a:b], k)]
+                yield pa.RecordBatch.from_arrays([pa.array([hashlib.blake2b(s, digest_size=16).digest() for s in sets], pa.binary()), pa.array(sets, pa.binary())], names=["own", "shingles"])
+
     joined = docs.join(members, docs["doc_id"] == members["rep"]).select(*[members[c] for c in members.columns], "text")
-    return joined.mapInArrow(run, f"{kinds}, shingles binary").dropDuplicates(["fp"])
+    found = joined.mapInArrow(run, f"{kinds}, shingles binary").dropDuplicates(["fp"])
+    lost = members.where("rep IS NULL")
+    if lost.limit(1).count():  # classes of rows without ids are known by their sets alone
+        sets = docs.where("doc_id IS NULL").select("text").mapInArrow(nameless, "own binary, shingles binary").dropDuplicates(["own"])
+        found = found.unionByName(lost.join(sets, F.col("fp") == F.col("own")).select(*fields))
+    return found
 
 
 def op5_near_dedup(docs: DataFrame) -> DataFrame:
     out = near_duplicates(docs)
-    return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
+    return out.select("doc_id", "n_shingles", "component_id", (F.col("doc_id").eqNullSafe(F.col("component_id"))).alias("kept"))
 
 
 def first_of_groups(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
