@@ -21,6 +21,8 @@ class Settings:
     log_level: str = "INFO"
     state: str = "data/state"
     archive: str = "Facturas"
+    receiver: str = ""
+    receiver_name: str = ""
 
     def problems(self, mailbox: bool = True) -> list[str]:
         """What is wrong; a run without a mailbox needs no account."""
@@ -38,7 +40,7 @@ def from_environment(env: Mapping[str, str] | None = None) -> Settings:
     env = os.environ if env is None else env
     limit = env.get("EMAIL_PROCESSING_LIMIT", "10").strip()
     path = lambda name, default: str(Path(env.get(name, "").strip() or default).expanduser())
-    return Settings(env.get("EMAIL", "").strip(), env.get("APP_PASSWORD", "").strip(), int(limit) if limit.isdigit() else 0, path("LOG_FOLDER", "logs"), env.get("LOG_LEVEL", "INFO").strip().upper(), path("STATE_DB_PATH", "data/state"), path("ARCHIVE_FOLDER", "Facturas"))
+    return Settings(env.get("EMAIL", "").strip(), env.get("APP_PASSWORD", "").strip(), int(limit) if limit.isdigit() else 0, path("LOG_FOLDER", "logs"), env.get("LOG_LEVEL", "INFO").strip().upper(), path("STATE_DB_PATH", "data/state"), path("ARCHIVE_FOLDER", "Facturas"), "".join(c for c in env.get("RECEIVER_TAX_ID", "") if c.isdigit()), env.get("RECEIVER_NAME", "").strip().upper())
 
 
 def daily_log(folder: str, level: str = "INFO") -> Path:
