@@ -115,11 +115,25 @@ def _above(path: str) -> Iterator[str]:
 
 
 def write_atomically(rows: DataFrame, path: str) -> None:
-    """Rows as Parquet at path, in place of what was there, complete or not at all."""
+    """Rows as Parquet at path, in place of what was there, complete or not at all. What was there is set
+    aside, not deleted, until the new table stands; where a writer died in between, the next one puts it
+    back first. Between the two renames a reader finds no table: those that must never miss one use
+    sources.versions."""
     jvm, conf = rows.sparkSession._jvm, rows.sparkSession._jsc.hadoopConfiguration()
-    new, target = jvm.org.apache.hadoop.fs.Path(f"{path}.new"), jvm.org.apache.hadoop.fs.Path(path)
-    rows.write.mode("overwrite").parquet(f"{path}.new")
+    new, old, target = (jvm.org.apache.hadoop.fs.Path(f"{path}{end}") for end in (".new", ".old", ""))
     store = target.getFileSystem(conf)
-    store.delete(target, True)
-    if not store.rename(new, target):
-        raise OSError(f"cannot rename {path}.new")
+
+    def rename(a, b) -> None:
+        if not store.rename(a, b):
+            raise OSError(f"cannot rename {a}")
+
+    if store.exists(old):
+        if store.exists(target):
+            store.delete(old, True)
+        else:
+            rename(old, target)
+    rows.write.mode("overwrite").parquet(f"{path}.new")
+    if store.exists(target):
+        rename(target, old)
+    rename(new, target)
+    store.delete(old, True)

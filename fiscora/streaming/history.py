@@ -6,6 +6,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fiscora.functions import taxid
+from fiscora.operators import suppliers
+from fiscora.sources import versions
+
 DONE = ("processed", "no_pdf")
 STATUSES = ("processed", "no_pdf", "error")
 
@@ -85,6 +89,30 @@ def stream_attempts(spark: SparkSession, folder: str, schema: str, out: str, che
     return spark.readStream.schema(schema).parquet(folder).writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def stream_occasional(seen: DataFrame, delay: str = "365 days") -> DataFrame:
-    """First sights of (tax_id, document_key) in a stream with seen_at: a document counts once."""
-    return seen.withWatermark("seen_at", delay).dropDuplicatesWithinWatermark(["tax_id", "document_key"])
+SEEN = "tax_digits string, document_key string, name string, folder string, seen_at timestamp"
+
+
+def note_documents(spark: SparkSession, seen: DataFrame, store: str, tag: str) -> int | None:
+    """Take in a batch of seen (tax_id, document_key, name, folder, seen_at): each document of a supplier
+    is noted once for each way that it was seen, whenever and however often it comes. Only what is new is
+    written (sources.versions), so a batch costs a join with the keys, not a rewrite of the state; a repeated
+    batch changes nothing. Rows without a tax id of eleven digits or a document are left out."""
+    rows = seen.select(taxid.digits(F.col("tax_id")).alias("tax_digits"), "document_key", "name", "folder", "seen_at").where("length(tax_digits) = 11 AND document_key IS NOT NULL").distinct()
+    before = versions.appended(spark, store, "seen", SEEN)
+    same = [rows[c].eqNullSafe(before[c]) for c in rows.columns]
+    on = same[0]
+    for c in same[1:]:
+        on = on & c
+    return versions.commit(spark, store, {"seen": rows.join(before, on, "left_anti")}, tag)
+
+
+def noted_suppliers(spark: SparkSession, store: str, catalogue: DataFrame, review_from: int = 3) -> DataFrame:
+    """What suppliers.occasional() gives for all that has been noted, late and repeated rows included."""
+    seen = versions.appended(spark, store, "seen", SEEN).withColumnRenamed("tax_digits", "tax_id")
+    return suppliers.occasional(seen, catalogue, review_from)
+
+
+def stream_occasional(seen: DataFrame, store: str, checkpoint: str):
+    """note_documents() for each batch of a stream. Returns the query, which ends when all there is has been read."""
+    note = lambda df, n: note_documents(df.sparkSession, df, store, f"batch-{n}")
+    return seen.writeStream.foreachBatch(note).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -121,3 +121,23 @@ def test_versions(spark, tmp_path):
     assert read() == [4] and versions.commit(spark, store, {"a": rows(5)}) == 4 and read() == [5]
     assert sorted(r["n"] for r in versions.appended(spark, store, "a", "n int").collect()) == [1, 4, 5]
     assert versions.vacuum(spark, store, ["a"], keep=1) == 2 and read() == [5]
+
+
+def test_suppliers_noted_by_a_stream(spark, tmp_path):
+    import datetime as dt
+
+    from fiscora.operators import suppliers
+
+    at = lambda d: dt.datetime(2024, 1, d)
+    schema = "tax_id string, document_key string, name string, folder string, seen_at timestamp"
+    rows = [("30-00000001-1", f"k{d}", f"A{d}", "F", at(d)) for d in (5, 6, 7, 7)] + [("30 00000001 1", "k1", "A0", "F", at(1))] + [("30-00000002-2", f"k{d}", "B", None, at(d)) for d in (1, 2)] + [("30-00000003-3", "k", "C", "F", at(1)), ("12", "k", "D", "F", at(1)), (None, "k", "D", "F", at(1))]
+    known = spark.createDataFrame([("30000000033",)], "tax_id string")
+    store, folder = f"file://{tmp_path}/store", tmp_path / "in"
+    for n, part in enumerate((rows[:4], rows[4:], rows[:6])):  # the second is late, the third a repetition
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(str(folder))
+        history.stream_occasional(spark.readStream.schema(schema).parquet(str(folder)), store, f"{tmp_path}/c").awaitTermination()
+        assert len(versions.versions(spark, store)) == n + 1
+    got = {tuple(r) for r in history.noted_suppliers(spark, store, known).collect()}
+    assert got == {tuple(r) for r in suppliers.occasional(spark.createDataFrame(rows, schema), known).collect()}
+    assert {(r[1], r[3], r[6]) for r in got} == {("A7", 4, True), ("B", 2, False)}
+    assert sum(spark.read.parquet(f"{tmp_path}/store/data/{v['folder']}/seen").count() for v in versions.versions(spark, store)) == 7
