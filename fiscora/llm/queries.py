@@ -109,6 +109,20 @@ SELECT doc_id, cast(len(w) AS BIGINT) AS n_words, cast(coalesce(n_hit, 0) AS BIG
 FROM d LEFT JOIN pos USING (doc_id) LEFT JOIN it USING (doc_id)
 """
 
+#: Sets, their classes, links of classes by shared shingles, and what can be reached over them.
+OP5_SQL = rf"""
+WITH RECURSIVE w AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), '{UPPER}', '{UPPER.lower()}'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')] ELSE list_sort(list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]))) END AS s FROM w),
+k AS (SELECT doc_id, len(s) AS n, CASE WHEN len(s) > 0 THEN md5(array_to_string(s, chr(1))) END AS k, s FROM s),
+c AS (SELECT k, min(doc_id) AS rep, any_value(n) AS n, any_value(s) AS s FROM k WHERE k IS NOT NULL GROUP BY k),
+u AS (SELECT rep, n, unnest(s) AS g FROM c),
+l AS (SELECT a.rep AS x, b.rep AS y FROM u a JOIN u b ON a.g = b.g AND a.rep < b.rep GROUP BY a.rep, b.rep, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))),
+e AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
+r AS (SELECT rep AS x, rep AS y FROM c UNION SELECT r.x, e.y FROM r JOIN e ON r.y = e.x),
+m AS (SELECT x, min(y) AS component_id FROM r GROUP BY x)
+SELECT doc_id, cast(k.n AS BIGINT) AS n_shingles, coalesce(component_id, doc_id) AS component_id, doc_id = coalesce(component_id, doc_id) AS kept FROM k LEFT JOIN c USING (k) LEFT JOIN m ON m.x = c.rep
+"""
+
 OP11_SQL = r"""
 WITH h AS (SELECT doc_id, coalesce(text, '') AS t, sha256('7:' || coalesce(cast(doc_id AS VARCHAR), '')) AS h, regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') AS u FROM documents),
 n AS (SELECT doc_id, t, u, cast(len(u) AS BIGINT) AS n, cast('0x' || h[1:8] AS BIGINT) AS h1, cast('0x' || h[9:16] AS BIGINT) AS h2, cast('0x' || h[17:24] AS BIGINT) AS h3, cast('0x' || h[25:32] AS BIGINT) AS h4 FROM h),
@@ -163,4 +177,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_decontaminate": OP2_SQL, "op11_fill_in_middle": OP11_SQL, "op13_merkle_manifest": OP13_SQL}
+    return {"op2_decontaminate": OP2_SQL, "op5_near_dedup": OP5_SQL, "op11_fill_in_middle": OP11_SQL, "op13_merkle_manifest": OP13_SQL}
