@@ -14,6 +14,7 @@ from fiscora.operators import amounts, classify, filename, files, fusion, header
 from fiscora.plans import documents as plans
 from fiscora.plans import render
 from fiscora.sources.documents import joined_pages
+from fiscora.sources.scratch import materialised
 from fiscora.sources.tables import read
 from fiscora.streaming import history
 
@@ -66,6 +67,16 @@ def q_tax_profile_export(spark: SparkSession, sf_dir: str) -> DataFrame:
     return amounts.profile_export(q_tax_profile(spark, sf_dir))
 
 
+def q_tax_profile_resolved(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The profile of suppliers that are found first: half of them by the catalogue, the others by the layout."""
+    docs = materialised(_docs(spark, sf_dir, "name"), "rendered")
+    known = _suppliers(spark, sf_dir).where("cast(substr(identifier, 11) AS int) % 2 = 0").withColumn("folder_name", F.lit(None).cast("string")).withColumn("display_name", F.col("legal_name"))
+    found = plans.resolved(docs, known, render.RECEIVER_ID, RECEIVER_NAME, plans.Rules())
+    profile = amounts.tax_profile(amounts.with_taxes(docs.join(found, "doc_key")))[0]
+    by_layout = found.groupBy("supplier_tax_id").agg(F.bool_and(F.col("step") == plans.GENERIC).alias("by_layout"))
+    return profile.join(by_layout, "supplier_tax_id")
+
+
 def q_issuer_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return issuer.issuer_identity(_docs(spark, sf_dir), render.RECEIVER_ID, RECEIVER_NAME).select("doc_key", "tax_id", "name")
 
@@ -553,6 +564,7 @@ count(*) FILTER (WHERE event_id % 2 <> 0) AS not_detected, count(*) FILTER (WHER
 SQL["q_catalog_reimport"] = f"""WITH f AS ({SQL['q_catalog_import']}), p AS (SELECT upper(replace(legal_name, ' ', '')) AS k, min(concat('viejo_', tax_digits)) AS old FROM f WHERE substr(tax_digits, 10, 1) < '5' GROUP BY 1),
 b AS (SELECT tax_digits, legal_name, document_count, old, coalesce(old, lower(replace(legal_name, ' ', '_'))) AS base FROM f LEFT JOIN p ON upper(replace(legal_name, ' ', '')) = k)
 SELECT tax_digits, CASE WHEN row_number() OVER (PARTITION BY base ORDER BY document_count DESC, legal_name, tax_digits) > 1 THEN concat(base, '_', substr(tax_digits, 8, 4)) ELSE base END AS identifier, CASE WHEN old IS NOT NULL THEN 'Carpeta' END AS folder_name FROM b"""
+SQL["q_tax_profile_resolved"] = f"SELECT p.*, s.by_layout FROM ({SQL['q_tax_profile']}) AS p JOIN (SELECT supplier_tax_id, bool_and(s_suppkey % 2 = 1) AS by_layout FROM ({FACTS}) GROUP BY 1) AS s USING (supplier_tax_id)"
 SQL["q_tax_profile_export"] = "SELECT supplier_name, supplier_tax_id, " + ", ".join(f"CASE WHEN {c} THEN 'Sí' ELSE 'No' END AS {c}" for c in amounts.TAXES) + f" FROM ({SQL['q_tax_profile']})"
 
 
