@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fiscora.functions import taxid, text
-from fiscora.operators import amounts, classify, filename, files, fusion, header, issuer, run, suppliers
+from fiscora.operators import amounts, classify, filename, files, fusion, header, issuer, record, run, suppliers
 from fiscora.plans import documents as plans
 from fiscora.plans import render
 from fiscora.sources.documents import joined_pages
@@ -266,6 +266,31 @@ def q_supplier_top5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suppliers.top_candidates(found).select("doc_key", "rank", "identifier", "score")
 
 
+_HIDE = """CASE WHEN doc_key % 10 = 9 THEN NULL WHEN doc_key % 10 = 8 THEN ' ' WHEN doc_key % 10 = 7 THEN 'Texto sin nada' WHEN doc_key % 10 = 6 THEN replace(text, concat('CUIT: ', supplier_tax_id), 'CUIT') WHEN doc_key % 10 = 5 THEN replace(text, legal_name, 'X') WHEN doc_key % 10 = 4 THEN concat(text, chr(10), 'PROVEEDOR SUPPLIER 000000001 SA') WHEN doc_key % 10 = 3 THEN concat(replace(replace(text, legal_name, 'X'), concat('CUIT: ', supplier_tax_id), 'CUIT'), chr(10), 'PROVEEDOR SUPPLIER 000000001 SA y PROVEEDOR SUPPLIER 000000002 SA') ELSE text END"""
+
+
+def q_supplier_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Results with their warnings and candidates, of texts with all, some or none of the evidence."""
+    docs = render.invoices(spark, sf_dir).select("doc_key", F.expr(_HIDE).alias("text"))
+    docs = materialised(docs, "hidden")
+    known = _suppliers(spark, sf_dir)
+    out = suppliers.results(docs, suppliers.candidates(docs, known, render.RECEIVER_ID), known)
+    return out.select("doc_key", "detected", "identifier", "legal_name", "method", F.array_join("warnings", " ").alias("warnings"), F.size("candidates").cast("long").alias("n_candidates"), F.coalesce(F.get("candidates", F.lit(0))["score"], F.lit(0)).cast("long").alias("best"))
+
+
+def q_parsed_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = render.invoices(spark, sf_dir).select("doc_key", F.expr("CASE doc_key % 5 WHEN 0 THEN NULL WHEN 1 THEN concat(' ', chr(10)) WHEN 2 THEN 'Texto sin nada' ELSE text END").alias("text"))
+    return record.parsed(docs).select("doc_key", "successful", "message", "point_of_sale", "sequential_number")
+
+
+_ODD_VALUES = "SELECT doc_key, CASE doc_key % 5 WHEN 0 THEN letter WHEN 1 THEN 'Z' WHEN 2 THEN '' WHEN 3 THEN lower(letter) END AS letter, CASE doc_key % 7 WHEN 0 THEN issue_date WHEN 1 THEN replace(issue_date, '/', '-') WHEN 2 THEN '2024-1-31' WHEN 3 THEN '31/02/2024' WHEN 4 THEN replace(issue_date, '/', '.') WHEN 5 THEN '' END AS date FROM __facts__"
+
+
+def q_value_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.sql(_ODD_VALUES.replace("__facts__", "{facts}"), facts=render.facts(spark, sf_dir))
+    return rows.select("doc_key", F.array_join(record.value_errors(F.col("letter"), F.col("date")), "; ").alias("errors"))
+
+
 def q_name_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.createDataFrame([("_011_", "once", 2), ("_00[36]_", "tres_o_seis", 1), ("^3000000000", "chico", 3)], "pattern string, value string, priority int")
     return suppliers.by_rules(render.invoices(spark, sf_dir), rules, F.col("name"))
@@ -564,6 +589,15 @@ count(*) FILTER (WHERE event_id % 2 <> 0) AS not_detected, count(*) FILTER (WHER
 SQL["q_catalog_reimport"] = f"""WITH f AS ({SQL['q_catalog_import']}), p AS (SELECT upper(replace(legal_name, ' ', '')) AS k, min(concat('viejo_', tax_digits)) AS old FROM f WHERE substr(tax_digits, 10, 1) < '5' GROUP BY 1),
 b AS (SELECT tax_digits, legal_name, document_count, old, coalesce(old, lower(replace(legal_name, ' ', '_'))) AS base FROM f LEFT JOIN p ON upper(replace(legal_name, ' ', '')) = k)
 SELECT tax_digits, CASE WHEN row_number() OVER (PARTITION BY base ORDER BY document_count DESC, legal_name, tax_digits) > 1 THEN concat(base, '_', substr(tax_digits, 8, 4)) ELSE base END AS identifier, CASE WHEN old IS NOT NULL THEN 'Carpeta' END AS folder_name FROM b"""
+_TOLD = {m: " ".join(w) for m, w in suppliers.WARNINGS.items()}
+SQL["q_supplier_results"] = f"""WITH d AS (SELECT doc_key, s_suppkey, legal_name, {_HIDE} AS text FROM ({INVOICES})), r AS (SELECT doc_key, s_suppkey, legal_name, doc_key % 10 AS r FROM d),
+m AS (SELECT *, CASE WHEN r = 9 THEN 'texto_ausente' WHEN r = 8 THEN 'texto_vacio' WHEN r = 7 THEN 'sin_coincidencias' WHEN r = 6 THEN 'razon_social' WHEN r = 5 THEN 'cuit' WHEN r = 3 THEN 'candidatos_empatados' ELSE 'razon_social_y_cuit' END AS method FROM r)
+SELECT doc_key, r NOT IN (3, 7, 8, 9) AS detected, CASE WHEN r NOT IN (3, 7, 8, 9) THEN concat('proveedor_', cast(s_suppkey AS string)) END AS identifier, CASE WHEN r NOT IN (3, 7, 8, 9) THEN legal_name END AS legal_name, method,
+CASE method {' '.join(f"WHEN '{m}' THEN '{t}'" for m, t in _TOLD.items())} ELSE '' END AS warnings,
+cast(CASE WHEN r > 6 THEN 0 WHEN r = 3 THEN 2 WHEN r = 4 AND s_suppkey <> 1 THEN 2 ELSE 1 END AS bigint) AS n_candidates, cast(CASE WHEN r > 6 THEN 0 WHEN r IN (3, 6) THEN 3 WHEN r = 5 THEN 6 ELSE 11 END AS bigint) AS best FROM m"""
+SQL["q_parsed_documents"] = f"""SELECT doc_key, doc_key % 5 > 1 AS successful, CASE doc_key % 5 WHEN 0 THEN 'El valor recibido no es una cadena de caracteres.' WHEN 1 THEN 'No se recibió texto válido para analizar.' WHEN 2 THEN 'Análisis completado. Se detectaron 1 datos.' ELSE 'Análisis completado. Se detectaron 12 datos.' END AS message,
+CASE WHEN doc_key % 5 > 2 THEN lpad(cast(point AS string), 5, '0') END AS point_of_sale, CASE WHEN doc_key % 5 > 2 THEN lpad(cast(number_ AS string), 8, '0') END AS sequential_number FROM ({FACTS})"""
+SQL["q_value_errors"] = f"SELECT doc_key, concat_ws('; ', CASE WHEN letter = 'Z' THEN 'Letra fiscal no admitida: ''Z''' END, CASE WHEN doc_key % 7 IN (3, 4) THEN concat('Fecha de emisión inválida: ''', date, '''') END) AS errors FROM ({_ODD_VALUES.replace('__facts__', '(' + FACTS + ')')})"
 SQL["q_tax_profile_resolved"] = f"SELECT p.*, s.by_layout FROM ({SQL['q_tax_profile']}) AS p JOIN (SELECT supplier_tax_id, bool_and(s_suppkey % 2 = 1) AS by_layout FROM ({FACTS}) GROUP BY 1) AS s USING (supplier_tax_id)"
 SQL["q_tax_profile_export"] = "SELECT supplier_name, supplier_tax_id, " + ", ".join(f"CASE WHEN {c} THEN 'Sí' ELSE 'No' END AS {c}" for c in amounts.TAXES) + f" FROM ({SQL['q_tax_profile']})"
 
