@@ -95,12 +95,22 @@ def repeated_windows(rows: DataFrame, min_words: int) -> DataFrame:
     return met.join(first, ["m", "a", "b"]).where(_place() > F.col("name")).select("d", "t", "pos", "m")
 
 
+def merged(windows: DataFrame) -> DataFrame:
+    """(d, t, start, stop): windows that overlap or touch as one run of lines each, so that a text of many
+    blank lines, whose windows are as long as it, costs a row for each window and not for each of their lines."""
+    order = Window.partitionBy("d", "t").orderBy("pos", "m")
+    spans = windows.select("d", "t", "pos", "m", (F.col("pos") + F.col("m") - 1).cast("int").alias("stop"))
+    apart = F.col("pos") > F.coalesce(F.max("stop").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(-2)) + 1
+    runs = spans.withColumn("apart", apart.cast("int")).withColumn("run", F.sum("apart").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    return runs.groupBy("d", "t", "run").agg(F.min("pos").cast("int").alias("start"), F.max("stop").alias("stop"))
+
+
 def drop_repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_lines, deleted array<int>, text) of every row: text without deleted lines."""
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     windows = repeated_windows(repeated_stretches(docs, min_words), min_words)
-    places = windows.select("d", "t", F.explode(F.expr("sequence(pos, cast(pos + m - 1 AS int))")).alias("pos")).distinct()
-    deleted = places.groupBy("d", "t").agg(F.array_sort(F.collect_list("pos")).alias("deleted"))
+    deleted = merged(windows).groupBy("d", "t").agg(F.array_sort(F.collect_list(F.struct("start", "stop"))).alias("runs"))
+    deleted = deleted.select("d", "t", F.flatten(F.transform("runs", lambda x: F.sequence(x["start"], x["stop"]))).alias("deleted"))
     out = _key(docs).join(deleted.hint("shuffle_hash"), ["d", "t"], "left").withColumn("lines", F.split("text", "\n"))
     kept = F.expr("CASE WHEN deleted IS NULL THEN text ELSE array_join(transform(array_except(sequence(0, size(lines) - 1), deleted), i -> lines[i]), '\n') END")
     return out.select("doc_id", F.coalesce(F.size("lines"), F.lit(0)).alias("n_lines"), F.coalesce("deleted", F.expr("cast(array() AS array<int>)")).alias("deleted"), kept.alias("text"))

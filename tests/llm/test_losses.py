@@ -57,3 +57,16 @@ def test_links_of_rows_without_ids(spark):
     out = op5_near_dedup(docs).select("doc_id", "component_id", "kept", "n_shingles").collect()
     found = sorted((str(r["doc_id"]), str(r["component_id"]), r["kept"], r["n_shingles"]) for r in out)
     assert found == sorted([("5", "5", True, 78), ("None", "5", False, 78), ("None", "5", False, 79), ("None", "None", True, 78), ("None", "None", True, 79), ("None", "9", False, 78), ("9", "9", True, 79), ("None", "None", True, 0), ("3", "3", True, 78)])
+
+
+def test_many_blank_lines_cost_a_row_each(spark):
+    from fiscora.llm import op9_line_runs as op
+
+    blank = "\n" * 3000
+    passage = " ".join(f"w{i}" for i in range(60))
+    rows = [(1, f"{blank}{passage}\nend one"), (2, f"{blank}{passage}\nend two"), (3, "other\n" + passage)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    got = {r["doc_id"]: (r["n_deleted"], r["text"]) for r in op.op9_line_runs(docs).collect()}
+    assert got == {1: (0, rows[0][1]), 2: (3001, "end two"), 3: (1, "other")}
+    windows = spark.createDataFrame([(1, 0, 0, 3), (1, 0, 1, 5), (1, 0, 6, 2), (1, 0, 9, 1), (2, 0, 4, 4), (2, 0, 4, 2)], "d long, t long, pos int, m int")
+    assert sorted((r["d"], r["start"], r["stop"]) for r in op.merged(windows).collect()) == [(1, 0, 7), (1, 9, 9), (2, 4, 7)]
