@@ -99,11 +99,11 @@ def fiscal_score(c: Column) -> Column:
     return points(rules) + numbered
 
 
-def category_score(category: str, fields: dict[str, Column], own: tuple[Rule, ...] = ()) -> Column:
-    """K2-K6: the points of one category; own: rules of a single house."""
+def category_score(category: str, fields: dict[str, Column], house: tuple[Rule, ...] = ()) -> Column:
+    """K2-K6: the points of one category; house: rules of a single house."""
     content, name, joined = fields["content"], fields["name"], fields["joined"]
     total = F.lit(0)
-    for rule in (*RULES, *own):
+    for rule in (*RULES, *house):
         if rule.category == category:
             n = hits(fields[rule.field], rule.terms) + pattern_hits(fields[rule.field], rule.patterns)
             total = total + (F.when(n > 0, rule.points).otherwise(0) if rule.once else n * rule.points)
@@ -117,7 +117,7 @@ def category_score(category: str, fields: dict[str, Column], own: tuple[Rule, ..
     return total + points(extra.get(category, ()))
 
 
-def with_category(docs: DataFrame, text: str = "text", name: str = "name", own: tuple[Rule, ...] = ()) -> DataFrame:
+def with_category(docs: DataFrame, text: str = "text", name: str = "name", house: tuple[Rule, ...] = ()) -> DataFrame:
     """docs with category, invoice_score, price_list_score, scores, confidence and reason (K8).
 
     The decision list: an explicit receipt; a payment if the fiscal score is below 8; an invoice from
@@ -126,7 +126,7 @@ def with_category(docs: DataFrame, text: str = "text", name: str = "name", own:
     content, own = upper_collapsed(F.col(text)), upper_collapsed(F.col(name))
     staged = docs.withColumns({"_c": content, "_n": own}).withColumn("_j", F.trim(F.concat_ws(" ", "_c", "_n")))
     fields = {"content": F.col("_c"), "name": F.col("_n"), "joined": F.col("_j")}
-    ranked = F.array(*[F.struct(category_score(c, fields, own).alias("score"), F.lit(-i).alias("order"), F.lit(c).alias("category")) for i, c in enumerate(CATEGORIES)])
+    ranked = F.array(*[F.struct(category_score(c, fields, house).alias("score"), F.lit(-i).alias("order"), F.lit(c).alias("category")) for i, c in enumerate(CATEGORIES)])
     staged = staged.withColumns({"invoice_score": fiscal_score(F.col("_j")), "_ranked": F.sort_array(ranked, asc=False)})
     joined = F.col("_j")
     receipt = joined.rlike(r"\bRECIBO\s+OFICIAL\b|\bN\s*[°º]?\s*RECIBO\b|\bNRO\.?\s*RECIBO\b")

@@ -97,3 +97,10 @@ def test_readings(spark):
     assert fusion.best_reading(passes).first()["method"] == "c"
     row = fusion.fused_fields(passes, ("document_type", "fiscal_letter")).first()
     assert (row["document_type"], row["fiscal_letter"]) == ("FACTURA", "B")
+
+
+def test_rules_of_one_house(spark):
+    rules = (classify.Rule("impuestos_servicios", "name", 12, ("1234567 PDF",), once=True),)
+    docs = one(spark, "nada", "1234567 pdf")
+    assert classify.with_category(docs).first()["category"] == "desconocido"
+    assert classify.with_category(docs, house=rules).first()["category"] == "impuestos_servicios"
