@@ -117,13 +117,17 @@ def document_letter(raw: Column, norm: Column, kind: Column) -> Column:
 
 def _own_number(norm: Column, title: str) -> Column:
     """A note's own number: behind its title and before any related document."""
-    tail = F.regexp_extract(norm, rf"{title}(.{{0,320}})", 1)
-    tail = F.get(F.split(tail, RELATED), F.lit(0))
-    shape = r"(.*?)\b(?:[ABC]\s*)?(\d{1,5})\s*[-/]\s*(\d{4,8})\b"
-    parts = [F.regexp_extract_all(tail, F.lit(shape), F.lit(i)) for i in (1, 2, 3)]
-    own = F.filter(F.arrays_zip(*parts), lambda x: ~F.regexp_extract(x["0"], r"(.{0,32})$", 1).rlike(r"\b(?:CUIT|FECHA|VENC|VTO)\b"))
-    first = F.get(own, F.lit(0))
-    return F.coalesce(number_by(tail, OWN_NUMBER), document_number(first["1"], first["2"]))
+    shape = r"\b(?:[ABC]\s*)?(\d{1,5})\s*[-/]\s*(\d{4,8})\b"
+
+    def own(tail: Column) -> Column:
+        before = F.transform(F.split(tail, shape), lambda x: F.substring(x, -32, 32))
+        parts = [F.regexp_extract_all(tail, F.lit(shape), F.lit(i)) for i in (1, 2)]
+        free = F.filter(F.arrays_zip(before, *parts), lambda x: x["1"].isNotNull() & ~x["0"].rlike(r"\b(?:CUIT|FECHA|VENC|VTO)\b"))
+        first = bind(F.get(free, F.lit(0)), lambda x: document_number(x["1"], x["2"]))
+        return F.coalesce(number_by(tail, OWN_NUMBER), first)
+
+    tail = bind(F.regexp_extract(norm, rf"{title}(.{{0,320}})", 1), lambda x: F.get(F.split(x, RELATED), F.lit(0)))
+    return bind(tail, lambda t: F.when(t != "", own(t)))
 
 
 def number(norm: Column, kind: Column) -> Column:
