@@ -86,12 +86,12 @@ def folder(supplier: Column, date_text: Column, root: str = "") -> Column:
 def corrected_path(path: Column, date_text: Column) -> Column:
     """An organised path with the day and month of its name, and its year and month folders,
     put right; null for paths of another shape or below a folder that begins with _."""
-    parts = F.split(path, "/")
-    n = F.size(parts)
-    name = F.element_at(parts, -1)
+    tail = F.substring_index(path, "/", -3)
+    name = F.substring_index(path, "/", -1)
+    # Of paths with fewer than four parts the tail is all, and there is no head.
+    head = F.when(F.length(tail) < F.length(path), F.substring(path, F.lit(1), F.length(path) - F.length(tail) - 1))
     right = F.concat(F.substring(date_text, 1, 2), F.lit("-"), F.substring(date_text, 4, 2), F.substring(name, 6, 1000))
-    ok = date_text.isNotNull() & (n >= 4) & name.rlike(r"^\d\d-\d\d(?:FC|NC|ND)[ABC]") & ~F.startswith(F.try_element_at(parts, F.lit(-4)), F.lit("_"))
-    head = F.array_join(F.slice(parts, 1, F.greatest(n - 3, F.lit(1))), "/")
+    ok = date_text.isNotNull() & head.isNotNull() & name.rlike(r"^\d\d-\d\d(?:FC|NC|ND)[ABC]") & ~F.startswith(F.substring_index(head, "/", -1), F.lit("_"))
     return F.when(ok, F.concat_ws("/", head, F.substring(date_text, 7, 4), F.substring(date_text, 4, 2), right))
 
 

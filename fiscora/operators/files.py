@@ -79,7 +79,8 @@ def date_audit(files: DataFrame, inventory: DataFrame) -> DataFrame:
     file that is there; unreadable dates are errors."""
     target = corrected_path(F.col("path"), F.col("issue_date"))
     rows = files.withColumn("destination", target).where(F.col("issue_date").isNull() | (F.col("destination") != F.col("path")))
-    there = inventory.select(F.col("path").alias("destination"), F.lit(True).alias("taken")).distinct()
+    # The mark comes after the distinct paths, which are then shuffled once for both steps.
+    there = inventory.select(F.col("path").alias("destination")).distinct().withColumn("taken", F.lit(True))
     status = F.when(F.col("issue_date").isNull(), "error").when(F.col("taken"), "conflict").otherwise("would_move")
     return rows.join(there, "destination", "left").select(status.alias("status"), F.col("path").alias("source"), "destination", F.when(F.col("issue_date").isNull(), "sin fecha").otherwise("").alias("detail"))
 

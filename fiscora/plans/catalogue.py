@@ -154,7 +154,10 @@ _AUDITED = f"SELECT doc_key, CASE WHEN doc_key % 17 = 0 THEN NULL ELSE issue_dat
 
 def q_date_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spark.sql(_AUDITED.replace("(__facts__)", "{facts}"), facts=render.facts(spark, sf_dir))
-    return files.date_audit(rows.select("path", "issue_date"), rows.select("path"))
+    # A table first: both sides read it, and the audit's filter would be pushed into the facts' joins, where
+    # its expressions, path in path, are written out again and again.
+    rows = materialised(rows.select("path", "issue_date"), "audited")
+    return files.date_audit(rows, rows.select("path"))
 
 
 # Text, ids, classes -------------------------------------------------------------------------------
