@@ -1,9 +1,11 @@
 """What larger tables made slow: facts joined anew for each step, and patterns that look for a boundary at every place."""
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
-from fiscora.operators import filename
+from fiscora.operators import filename, issuer
 from fiscora.plans import catalogue
 
 SF = "/root/testdata/sf0.001"
@@ -24,3 +26,17 @@ def test_corrected_paths(spark):
     }
     rows = spark.createDataFrame([(p,) for p in paths], "path string").select("path", filename.corrected_path(F.col("path"), F.lit("05/06/2024")).alias("right")).collect()
     assert {r["path"]: r["right"] for r in rows} == paths
+
+
+ODD = [
+    "", " \r\n\t", "uno  dos\t tres\r\n\r\n:;-cuatro--\x0bcinco . seis. \u0085 - \nsiete\t\t:", "a\x1cb\x1dc\x1ed\x0ce f", "....  ---\n.....x.....\n  y", "\r\r\nsin fin ....", "a \x1c b   , c\n\n\n",
+]
+
+
+def test_lines_cleaned_as_one_text(spark):
+    """A text is cleaned as its lines would be one by one; long runs of dots take one look."""
+    ends = re.compile(r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85  ]")
+    line = lambda x: re.sub(r"^[ \t:;,.-]+|[ \t:;,.-]+$", "", re.sub(r"[ \t]+", " ", x))
+    dots = "x" + "." * 100_000 + "y"
+    found = spark.createDataFrame(list(enumerate([*ODD, dots])), "k long, t string").select("k", issuer._cleaned(F.col("t")).alias("c")).orderBy("k").collect()
+    assert [r["c"] for r in found] == [*("\n".join(x for x in map(line, ends.split(t)) if x) for t in ODD), dots]
