@@ -5,7 +5,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from fiscora.operators import filename, issuer
+from fiscora.operators import amounts, filename, issuer
 from fiscora.plans import catalogue
 
 SF = "/root/testdata/sf0.001"
@@ -40,3 +40,35 @@ def test_lines_cleaned_as_one_text(spark):
     dots = "x" + "." * 100_000 + "y"
     found = spark.createDataFrame(list(enumerate([*ODD, dots])), "k long, t string").select("k", issuer._cleaned(F.col("t")).alias("c")).orderBy("k").collect()
     assert [r["c"] for r in found] == [*("\n".join(x for x in map(line, ends.split(t)) if x) for t in ODD), dots]
+
+
+#: The patterns as they are written plainly.
+VAT = r"I\s*\.?\s*V\s*\.?\s*A\s*\.?"
+RATE = lambda r: rf"\b{VAT}\s*(?:ALICUOTA\s*)?{r}\s*%|\b{r}\s*%\s*(?:DE\s*)?(?:{VAT}|IVA)\b|\bIVA\b.{{0,120}}?\b{r}\s*%"
+PLAIN = {
+    "vat_27": RATE(r"27(?:[.,]0+)?"), "vat_21": RATE(r"21(?:[.,]0+)?"), "vat_10_5": RATE(r"10(?:[.,]5|[.,]50)"),
+    "vat_perception": r"\bPERCEP(?:CION)?\s*\.?\s*(?:DE\s*)?I\s*\.?\s*V\s*\.?\s*A\b|\bIVA\s+RG\s*3337\b|\bPERCEPCION\s+IVA\b",
+    "iibb_caba_perception": r"\bPERCEP(?:CION)?\s*\.?\s*(?:DE\s*)?I\s*\.?\s*B\s*\.?\s*(?:B\s*\.?\s*)?(?:CABA|CAP\.?|CAPITAL(?:\s+FEDERAL)?)\b|\bIIBB\s+(?:CABA|CAPITAL(?:\s+FEDERAL)?)\b|\bINGRESOS\s+BRUTOS\s+(?:CABA|CAPITAL(?:\s+FEDERAL)?)\b",
+    "iibb_bsas_perception": r"\bPERCEP(?:CION)?\s*\.?\s*(?:DE\s*)?I\s*\.?\s*B\s*\.?\s*B\s*\.?\s*(?:BS\.?\s*AS\.?|BUENOS\s+AIRES)\b|\bIIBB\s+(?:BS\.?\s*AS\.?|BUENOS\s+AIRES)\b|\bARBA\b",
+    "internal_taxes": r"\bIMPUESTOS?\s+INTERNOS?\b|\bIMP\.?\s*INT\.?\b|\bINTERNOS?\s+[0-9]+(?:[.,][0-9]+)?\s*%",
+}
+TAXED = [
+    "IVA 21%", "XIVA 21 %", "I.V.A. ALICUOTA 27,00 %", "121% IVA", "21% DE I V A", "27 % DE IVA", "IVA " + "x" * 119 + " 21%", "IVA " + "X" * 130 + " 21%", "IVA 121%", "10,50% IVA", "IVA 10,5", "PERCEP. DE I.V.A", "XPERCEPCION IVA", "IVA RG3337", "IVA RG 33370",
+    "PERCEPCION IIBB CABA", "IIBB CAPITAL FEDERAL", "INGRESOS BRUTOS CABA", "REINGRESOS BRUTOS CABA", "PERC. IIBB", "PERCEP IB CAP.", "PERCEP IBB BS.AS.", "IIBB BUENOS AIRES", "ARBA", "BARBA", "IMP.INT.", "IMPUESTO INTERNO", "XIMPUESTOS INTERNOS", "INTERNOS 4,5 %", "INTERNO 4", "", "27.0% SIN IVA",
+]
+
+
+def test_taxes_by_patterns_that_begin_with_a_character(spark):
+    assert not any(p.startswith(r"\b") or r"|\b" in p for p in amounts.TAXES.values())
+    rows = amounts.with_taxes(spark.createDataFrame(list(enumerate(TAXED)), "k long, text string")).orderBy("k").collect()
+    wrong = [(t, n) for t, r in zip(TAXED, rows, strict=True) for n in PLAIN if r[n] != bool(re.search(PLAIN[n], t.upper()))]
+    assert not wrong and all(any(r[n] for r in rows) for n in PLAIN)
+
+
+def test_tax_profile_names(spark):
+    """The longest name, the first by doc_key on ties, as over the rows of an id taken together."""
+    flags = {n: False for n in amounts.TAXES}
+    rows = [dict(doc_key=k, supplier_tax_id=i, supplier_name=s, **flags | {"vat_21": k == 3}) for k, i, s in ((5, "a", "uno"), (3, "a", "dos"), (4, "a", "x"), (1, "b", "y"), (9, None, "z"))]
+    found = amounts.tax_profile(spark.createDataFrame(rows))[0]
+    assert {r["supplier_tax_id"]: (r["supplier_name"], r["invoices_analyzed"], r["vat_21"]) for r in found.collect()} == {"a": ("dos", 3, True), "b": ("y", 1, False)}
+    assert "keys=[supplier_tax_id" in found._jdf.queryExecution().executedPlan().toString().split("HashAggregate(", 1)[1]
