@@ -376,10 +376,11 @@ def q_free_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def q_move_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents go where half of them are already; some with other content."""
-    facts = render.facts(spark, sf_dir)
     path = F.concat(F.lit("root/P"), F.col("s_suppkey").cast("string"), F.lit("/01-01"), F.col("fiscal_code"), F.col("document_number"), F.lit("_R_P.pdf"))
-    wanted = facts.select(F.concat(F.lit("_Pendientes/"), F.col("doc_key").cast("string")).alias("source"), path.alias("destination"), F.col("doc_key").cast("string").alias("sha256"))
-    there = facts.where("doc_key % 2 = 0").select(path.alias("path"), F.when(F.col("doc_key") % 4 == 0, F.col("doc_key").cast("string")).otherwise("other").alias("sha256"))
+    # A table first: the plan reads its two sides in many steps, each of which would join the facts again.
+    facts = materialised(render.facts(spark, sf_dir).select("doc_key", path.alias("path")), "paths")
+    wanted = facts.select(F.concat(F.lit("_Pendientes/"), F.col("doc_key").cast("string")).alias("source"), F.col("path").alias("destination"), F.col("doc_key").cast("string").alias("sha256"))
+    there = facts.where("doc_key % 2 = 0").select("path", F.when(F.col("doc_key") % 4 == 0, F.col("doc_key").cast("string")).otherwise("other").alias("sha256"))
     plan = files.move_plan(wanted, there)
     return plan.groupBy(files.applied(F.col("status")).alias("status")).agg(F.count("*").alias("n"))
 

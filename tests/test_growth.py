@@ -11,7 +11,7 @@ from fiscora.plans import catalogue
 SF = "/root/testdata/sf0.001"
 
 
-@pytest.mark.parametrize("query", ["q_date_audit"])
+@pytest.mark.parametrize("query", ["q_date_audit", "q_move_plan"])
 def test_facts_are_joined_once(spark, query):
     """The plan reads a table of what it needs, not the sources of the facts once more for each side."""
     read = catalogue.queries()[query](spark, SF).inputFiles()
