@@ -48,8 +48,10 @@ def points(rules: Sequence[tuple[Column, int]]) -> Column:
 
 
 def hits(c: Column, terms: Sequence[str]) -> Column:
-    """How many of the terms stand in a text."""
-    return sum((F.contains(c, F.lit(t)).cast("int") for t in terms), F.lit(0))
+    """How many of the terms stand in a text (not null)."""
+    if len(terms) < 2:
+        return sum((F.contains(c, F.lit(t)).cast("int") for t in terms), F.lit(0))
+    return F.size(F.filter(F.array(*map(F.lit, terms)), lambda t: F.contains(c, t)))
 
 
 def pattern_hits(c: Column, patterns: Sequence[str]) -> Column:

@@ -1,7 +1,9 @@
 """Classification of documents by additive rules.
 
-Rules are rows: category, field, points, how hits count, and terms or patterns. They are compiled
-into one Column each; plain terms become contains(), which is far cheaper than a pattern.
+Rules are rows: category, field, points, how hits count, and terms or patterns. Plain terms become
+contains(), which is far cheaper than a pattern, over arrays of terms: written out one by one they
+make a method that the JVM does not compile. Patterns begin with a character (cascade.word), and
+those of the decision list run where a text holds what all of them need.
 """
 
 from __future__ import annotations
@@ -11,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fiscora.functions.cascade import hits, pattern_hits, points
+from fiscora.functions.cascade import hits, pattern_hits, points, word
 from fiscora.functions.text import upper_collapsed
 from fiscora.operators.header import PAIR, SHARED, SHARED_NUMBER, SHARED_VAT
 
@@ -82,18 +84,19 @@ RULES = (
 
 def fiscal_score(c: Column) -> Column:
     """K1, over text and name together."""
-    shared = F.contains(c, F.lit(SHARED)) & c.rlike(SHARED_NUMBER) & c.rlike(SHARED_VAT) & c.rlike(r"\bCUIT\b.{0,80}?(?<!\d)\d{2}-?\d{8}-?\d(?!\d)")
-    numbered = F.when(c.rlike(rf"\b[ABCEMT]\s*{PAIR}\b"), 4).when(c.rlike(rf"\b(?:FACTURA|NOTA\s+(?:DE\s+)?(?:CREDITO|DEBITO))\s+{PAIR}\b"), 4).when(c.rlike(rf"\bN[ROº°]*\s*[:;,.-]?\s*{PAIR}\b"), 3).otherwise(0)
+    shared = F.contains(c, F.lit(SHARED)) & c.rlike(SHARED_NUMBER) & c.rlike(SHARED_VAT) & c.rlike(word(r"CUIT\b.{0,80}?(?<!\d)\d{2}-?\d{8}-?\d(?!\d)"))
+    numbered = F.when(c.rlike(rf"[ABCEMT](?<=\b[ABCEMT])\s*{PAIR}\b"), 4).when(c.rlike(rf"(?:{word('FACTURA')}|{word(r'NOTA\s+(?:DE\s+)?(?:CREDITO|DEBITO)')})\s+{PAIR}\b"), 4).when(c.rlike(word(rf"N[ROº°]*\s*[:;,.-]?\s*{PAIR}\b")), 3).otherwise(0)
+    day = r"\d(?<=\b\d)\d?"
     rules = (
         (c.rlike(r"F\s*A\s*C\s*T\s*U\s*R\s*A|NOTA\s+DE\s+(?:CREDITO|DEBITO)"), 5),
-        (c.rlike(r"\b(?:FC|NC|ND)[ABC]\b"), 5),
-        (c.rlike(rf"\bFA\s*[-_/\"' ]*[ABC]\s*[-_/\"' ]*{PAIR}\b"), 5),
-        (c.rlike(r"\b(?:PUNTO DE VENTA|COMP\.?\s*NRO)\b"), 3),
-        (c.rlike(r"\bC\s*\.?\s*A\s*\.?\s*E\s*\.?\b"), 4),
-        (F.contains(c, F.lit("CUIT")) | c.rlike(r"(?<!\d)\d{2}-?\d{8}-?\d(?!\d)"), 1),
-        (F.contains(c, F.lit("RESPONSABLE INSCRIPTO")) | c.rlike(r"\bIVA\b"), 1),
-        (c.rlike(r"\b(?:TOTAL A PAGAR|IMPORTE TOTAL|TOTAL EXPENSAS|TOTAL)\b"), 1),
-        (c.rlike(r"\b\d{1,2}[./-]\d{1,2}[./-]\d{4}\b|\b\d{1,2}\s+\d{1,2}\s+20\d{2}\b"), 1),
+        (c.rlike(r"(?:F(?<=\bF)C|N(?<=\bN)[CD])[ABC]\b"), 5),
+        (c.rlike(word(rf"FA\s*[-_/\"' ]*[ABC]\s*[-_/\"' ]*{PAIR}\b")), 5),
+        (c.rlike(rf"(?:{word('PUNTO DE VENTA')}|{word(r'COMP\.?\s*NRO')})\b"), 3),
+        (c.rlike(word(r"C\s*\.?\s*A\s*\.?\s*E\s*\.?\b")), 4),
+        (F.contains(c, F.lit("CUIT")) | c.rlike(r"\d(?<!\d\d)\d-?\d{8}-?\d(?!\d)"), 1),
+        (F.contains(c, F.lit("RESPONSABLE INSCRIPTO")) | c.rlike(word(r"IVA\b")), 1),
+        (c.rlike(word(r"TOTAL\b")), 1),  # alone, to be paid, of an amount or of shared expenses
+        (c.rlike(rf"{day}[./-]\d{{1,2}}[./-]\d{{4}}\b|{day}\s+\d{{1,2}}\s+20\d{{2}}\b"), 1),
         (shared, 6),
     )
     return points(rules) + numbered
@@ -129,17 +132,19 @@ def with_category(docs: DataFrame, text: str = "text", name: str = "name", house
     ranked = F.array(*[F.struct(category_score(c, fields, house).alias("score"), F.lit(-i).alias("order"), F.lit(c).alias("category")) for i, c in enumerate(CATEGORIES)])
     staged = staged.withColumns({"invoice_score": fiscal_score(F.col("_j")), "_ranked": F.sort_array(ranked, asc=False)})
     joined = F.col("_j")
-    receipt = joined.rlike(r"\bRECIBO\s+OFICIAL\b|\bN\s*[°º]?\s*RECIBO\b|\bNRO\.?\s*RECIBO\b")
-    order = joined.rlike(r"\bORDEN(?:\s+DE)?\s+PAGO\b|\bOP\s*\d{1,5}\s*[-/]\s*\d+|OP\d{1,5}-\d+")
-    paid = F.regexp_replace(joined, r"\b(?:NO\s+ES|NO\s+CONSTITUYE|NO\s+REVISTE\s+CARACTER\s+DE)\s+COMPROBANTE\s+DE\s+PAGO\b", " ").rlike(r"\bCOMPROBANTE\s+DE\s+PAGO\b|COMPROBANTEDEPAGO|\bPAGO\s+REALIZADO\b|\bIMPORTE\s+PAGADO\b")
+    held = lambda *terms: hits(joined, terms) > 0
+    receipt = held("RECIBO") & joined.rlike(rf"{word(r'RECIBO\s+OFICIAL')}\b|{word(r'N\s*[°º]?\s*RECIBO')}\b|{word(r'NRO\.?\s*RECIBO')}\b")
+    order = joined.rlike(rf"{word(r'ORDEN(?:\s+DE)?\s+PAGO')}\b|{word(r'OP\s*\d{1,5}\s*[-/]\s*\d+')}|OP\d{{1,5}}-\d+")
+    unpaid = rf"(?:{word(r'NO\s+ES')}|{word(r'NO\s+CONSTITUYE')}|{word(r'NO\s+REVISTE\s+CARACTER\s+DE')})\s+COMPROBANTE\s+DE\s+PAGO\b"
+    paid = held("PAGO", "PAGADO") & F.regexp_replace(joined, unpaid, " ").rlike(rf"{word(r'COMPROBANTE\s+DE\s+PAGO')}\b|COMPROBANTEDEPAGO|{word(r'PAGO\s+REALIZADO')}\b|{word(r'IMPORTE\s+PAGADO')}\b")
     strongest = F.get(F.filter("_ranked", lambda x: x["category"].isin(*STRONG)), F.lit(0))
     best, second = F.get("_ranked", F.lit(0)), F.get("_ranked", F.lit(1))
     score = F.col("invoice_score")
     settled = (best["score"] >= 8) & (best["score"] - second["score"] >= 3)
     decided = [
         (receipt, F.lit("remito_recibo"), "recibo explícito"),
-        (order & (score < 8), F.lit("orden_pago"), "documento de pago"),
-        (paid & (score < 8), F.lit("comprobante_pago"), "documento de pago"),
+        ((score < 8) & order, F.lit("orden_pago"), "documento de pago"),
+        ((score < 8) & paid, F.lit("comprobante_pago"), "documento de pago"),
         (score >= 10, F.lit("factura"), "evidencia fiscal fuerte"),
         (strongest["score"] >= 10, strongest["category"], "categoría prioritaria"),
         (score >= 8, F.lit("factura"), "evidencia fiscal suficiente"),
