@@ -54,6 +54,8 @@ DRAWN = re.compile(r"([^\W\d_])\1\1")
 ENDS = re.compile(r"^[\W_]+|[\W_]+$")
 #: A token may begin or end with look-alikes, but a longer row of signs is ornament.
 SOFT_ENDS = re.compile(r"^[^\w@$!|+(<€£¡]+|[^\w@$|+€£]+$|^[\W_]{3,}|[\W_]{3,}$|!+$")
+#: Signs that both of these take from the front and from the end of a token.
+FRONT, BACK = "\"'.,;:-)[]{}*#/\\?&%=~^`>", "\"'.,;:-)[]{}*#/\\?&%=~^`>(<!"
 
 
 def gram_codes(text: str | None) -> Iterator[np.ndarray]:
@@ -102,6 +104,14 @@ class Model:
         return [word for _, word in ended[: 4 * READINGS]]
 
 
+def plain_words(tokens: set[str]) -> set[str]:
+    """The tokens of a-z alone in which no letter is doubled: each is its own only term."""
+    words = [t for t in tokens if t.isascii() and t.isalpha()]
+    codes = np.frombuffer(" ".join(words).encode(), np.uint8)
+    doubled = np.cumsum(codes == 32)[:-1][codes[1:] == codes[:-1]]
+    return set(words).difference([words[i] for i in doubled.tolist()])
+
+
 def parts(token: str) -> list[str]:
     return [token[a : a + PART] for a in range(0, max(len(token) - PART // 2, 1), PART // 2)]
 
@@ -123,14 +133,32 @@ class Restorer:
         """Known terms in a row of letters whose word boundaries are not known."""
         return {w for a in range(len(run)) for b in range(a + 3, min(len(run), a + self.longest) + 1) if (w := run[a:b]) in self.known}
 
+    def word_terms(self, word: str) -> tuple[str, ...] | None:
+        """Terms of a row of letters, or None if one of them is drawn out."""
+        found: tuple[str, ...] = (word,)
+        if not word.isascii() and (folded := word.translate(FOLD)) in self.known:
+            found += (folded,)
+        if DOUBLED.search(word):
+            if DRAWN.search(word):
+                return None
+            if word not in self.known and (thick := self.thin.get(DOUBLED.sub(r"\1", word))):
+                found += (thick,)
+        return found
+
     def terms_of(self, token: str) -> tuple[str, ...]:
+        # Words are quicker told than looked up, and so many that they would push out all others.
+        word = token if token.isalpha() else token.lstrip(FRONT).rstrip(BACK)
+        if word.isalpha() and (found := self.word_terms(word)):
+            return found
+        if (found := self.seen.get(token)) is not None:
+            return found
         if token[0] == RUN:
             run = token[1:]
             own = self.terms_of(run)
             found = {*own, *self.inside(run), *(w for part in parts(run) if not part.isalpha() for x in self.model.readings(part)[:READINGS] for w in self.inside(x))}
             return self.keep(token, tuple(sorted(found)))
         core, soft = ENDS.sub("", token), SOFT_ENDS.sub("", token)
-        found: tuple[str, ...] = (core,) if core else ()
+        found = (core,) if core else ()
         if not core.isascii() and (folded := core.translate(FOLD)) in self.known:
             found += (folded,)
         if core not in self.known and DOUBLED.search(core) and (thick := self.thin.get(DOUBLED.sub(r"\1", core))):
@@ -154,20 +182,27 @@ class Restorer:
         if not text:
             return []
         low = text.lower()
-        return low.split() + [RUN + "".join(m.group().split()) for m in SPELT.finditer(low)]
+        tokens = low.split()
+        single = np.fromiter(map(len, tokens), np.int64, len(tokens)) == 1
+        if not (single[2:] & single[1:-1] & single[:-2]).any():  # three in a row are the shortest run
+            return tokens
+        return tokens + [RUN + "".join(m.group().split()) for m in SPELT.finditer(low)]
 
     def terms(self, text: str | None) -> set[str]:
-        found: set[str] = set()
-        for token in set(self.occurrences(text)):
-            found.update(self.seen.get(token) or self.terms_of(token))
+        tokens = set(self.occurrences(text))
+        found = plain_words(tokens)
+        for token in tokens - found:
+            found.update(self.terms_of(token))
         return found
 
     def features(self, text: str | None, place: dict[str, int]) -> tuple[list[int], float]:
         """Numbers of the model's terms in a text, and how often they recur, as a logarithm."""
         tokens = self.occurrences(text)
-        hits: dict[str, set[int]] = {}
-        for token in set(tokens):
-            if own := {place[t] for t in self.seen.get(token) or self.terms_of(token) if t in place}:
+        different = set(tokens)
+        plain = plain_words(different)
+        hits = {t: {place[t]} for t in plain & place.keys()}
+        for token in different - plain:
+            if own := {place[t] for t in self.terms_of(token) if t in place}:
                 hits[token] = own
         if not hits:
             return [], 0.0

@@ -3,6 +3,8 @@
 import random
 import zlib
 
+import numpy as np
+
 
 def test_terms_beyond_a_thousand(spark):
     from fiscora.llm import op8_toxicity as op
@@ -19,3 +21,20 @@ def test_terms_beyond_a_thousand(spark):
     docs = spark.createDataFrame([(i, t) for i, t, _ in rows + asked], "doc_id long, text string")
     found = {r["doc_id"]: r["predicted"] for r in op.op8_toxicity(docs, labels).collect()}
     assert [found[i] for i, _, _ in asked] == [y for _, _, y in asked]
+
+
+def test_plain_words():
+    """Words that need no reading are told apart as the expressions would, and do not fill the cache."""
+    from fiscora.llm.op8_toxicity import BACK, DOUBLED, ENDS, FRONT, SOFT_ENDS, Restorer, plain_words
+
+    tokens = {"abc", "abba", "été", "a1", "abc,", "x", "aa", "zz", "za", "(abc)", "[abc]!"}
+    assert plain_words(tokens) == {"abc", "x", "za"} and plain_words(set()) == set()
+    for front in ("", *FRONT, "...", "[("[:1]):
+        for back in ("", *BACK, "!!", ")."):
+            token = front + "word" + back
+            assert ENDS.sub("", token) == SOFT_ENDS.sub("", token) == "word" == token.lstrip(FRONT).rstrip(BACK)
+    own = Restorer(np.ones(27**3, np.int64), frozenset({"loser", "idiot"}))
+    assert own.terms("un loser, looser! i d i o t (idiot) ïdiot") >= {"loser", "looser", "idiot", "ïdiot"}
+    assert own.terms_of("looser!") == ("looser", "loser") and own.features("looser! nada, loser", {"loser": 0}) == ([0], np.log1p(1))
+    assert "nada," not in own.seen and DOUBLED.search("looser")
+    assert own.occurrences("a b") == ["a", "b"] and own.occurrences("x a b c y z") == ["x", "a", "b", "c", "y", "z", " xabcyz"]
