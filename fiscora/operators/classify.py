@@ -2,7 +2,7 @@
 
 Rules are rows: category, field, points, how hits count, and terms or patterns. Plain terms become
 contains(), which is far cheaper than a pattern, over arrays of terms: written out one by one they
-make a method that the JVM does not compile. Patterns begin with a character (cascade.word), and
+make one long method, which took twice as long. Patterns begin with a character (cascade.word), and
 those of the decision list run where a text holds what all of them need.
 """
 
