@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -72,6 +73,19 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+@contextmanager
+def small_batches(spark: SparkSession, most: str = "4m") -> Iterator[None]:
+    """What is run inside hands its rows to Python in batches of so many bytes, or of one row: the buffers
+    of both sides grow with a batch, and its 10,000 rows may be long ones."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, most)
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
 def if_small(df: DataFrame, rows: int = 200_000) -> DataFrame:
     """A broadcast hint behind a count of df: beyond `rows` rows the join shuffles instead."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fiscora.llm.common import kept, partitions, written
+from fiscora.llm.common import kept, partitions, small_batches, written
 from fiscora.llm.components import components, stars
 
 SAMPLES, BITS = 256, 1024
@@ -39,7 +39,8 @@ SAMPLES, BITS = 256, 1024
 BLOCK, BLOCK_BYTES = 512, 8 << 20
 #: The most that a pair at the threshold may be missed by all bands.
 MISSED = 1e-5
-BUFFER = 1 << 20
+#: Bytes of text that are shingled together (a longer text alone).
+BUFFER = 1 << 18
 #: The column of a row's own number.
 ROW = "_near_dedup_row"
 
@@ -83,7 +84,7 @@ def shingle_sets(texts: list[bytes], k: int) -> list[np.ndarray]:
     """The sorted distinct shingle hashes of each text."""
     sizes = np.array([len(t) + 1 for t in texts])
     data = _LOWER[np.frombuffer(b" ".join([*texts, b""]), np.uint8)]
-    up, down = _powers(1 << max(20, (len(data) - 1).bit_length()))
+    up, down = _powers(1 << max(19, (len(data) - 1).bit_length()))
     total = np.append(np.zeros(1, np.uint64), np.cumsum(_constants()[2][data] * up[: len(data)], dtype=np.uint64))
     gap = _SPACE[data]
     starts = np.flatnonzero(~gap & np.r_[True, gap[:-1]])
@@ -260,6 +261,11 @@ def rep_of(node: Column) -> Column:
 
 def near_duplicates(docs: DataFrame, k: int = 3, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row of docs."""
+    with small_batches(docs.sparkSession):
+        return _near_duplicates(docs, k, percent, id_col, text_col)
+
+
+def _near_duplicates(docs: DataFrame, k: int, percent: int, id_col: str, text_col: str) -> DataFrame:
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     features = written(set_features(docs, k, percent), "features")
     classes = features.where("n_shingles > 0").groupBy("fp").agg(F.min("doc_id").alias("rep"), F.first("sketch").alias("sketch"), F.first("bands").alias("bands"), F.first("n_shingles").alias("n"))
@@ -282,7 +288,9 @@ def near_duplicates(docs: DataFrame, k: int = 3, percent: int = 85, id_col: str
         large = written(large.join(roots, F.col("node") == F.col("a"), "left").withColumn("part", F.coalesce("b", "node")).drop("a", "b"), "large")
         first = large.where("block = 0").select(F.explode(F.expr("sequence(1, blocks - 1)")).alias("j"), none.alias("side"), "grp", "part", "sketch", "shingles")
         rest = large.where("block > 0").select(F.col("block").alias("j"), F.lit(1).alias("side"), "grp", "part", "sketch", "shingles")
-        found = stars(connected(first.unionByName(rest).select(_task("grp", F.lit(-1), F.col("j")), "side", "part", "sketch", "shingles"), percent))
+        # Links are written first, here and below, so that no task has two Python workers at a time.
+        links = connected(first.unionByName(rest).select(_task("grp", F.lit(-1), F.col("j")), "side", "part", "sketch", "shingles"), percent)
+        found = stars(written(links, "links"))
         named, large = _joined(named, found), written(_joined(large, found), "parted")
         most = large.groupBy("grp", "part").count().groupBy("grp").agg(F.max(F.struct("count", "part")).alias("m"), (F.sum("count") - F.max("count")).alias("outside"))
         most = written(most.where("outside > 0").select("grp", F.col("m.part").alias("main"), F.ceil(F.col("outside") / BLOCK).alias("outer")), "most")
@@ -291,7 +299,7 @@ def near_duplicates(docs: DataFrame, k: int = 3, percent: int = 85, id_col: str
             outer = large.where("part <> main").select(F.pmod(F.xxhash64("fp"), F.col("outer")).alias("i"), F.explode(F.expr("sequence(0, blocks - 1)")).alias("j"), none.alias("side"), "grp", "part", "sketch", "shingles")
             every = large.select(F.explode(F.expr("sequence(0, outer - 1)")).alias("i"), F.col("block").alias("j"), F.lit(1).alias("side"), "grp", "part", "sketch", "shingles")
             dealt = outer.unionByName(every).select(_task("grp", F.col("i"), F.col("j")), "side", "part", "sketch", "shingles")
-            named = _joined(named, stars(connected(dealt, percent)))
+            named = _joined(named, stars(written(connected(dealt, percent), "links")))
 
     named = classes.select("node", F.col("fp").alias("class")).join(named, "node", "left").select("class", rep_of(F.coalesce("part", "node")).alias("component_id"))
     out = features.select("doc_id", "n_shingles", "fp").join(written(named, "named"), F.col("fp") == F.col("class"), "left")
