@@ -3,8 +3,9 @@
 encode_media() stores bytes losslessly as an image: each 64 bytes are the 64 quantised coefficients
 of a block (as signed numbers, in zigzag order, all quantisers 1), which is the format's own unit;
 the number of bytes stands in a comment. decode_media() reads files of that or any other progressive
-JPEG: coefficients by accumulating the scans, then full-resolution RGB tensors. Both columns are
-stored as tables in the shared folder, files first and then the tensors that were read from them.
+JPEG: coefficients by accumulating the scans, then full-resolution RGB tensors. Both are stored as
+tables in the shared folder, files first and then the tensors that were read from them, these without
+loss as their planes before chroma is upsampled; tensors_of() gives the RGB bytes.
 
 Defined results: null and empty texts are stored as one block of zeros; equal texts have equal
 files and features, whatever they are batched with; other columns are not read.
@@ -15,7 +16,7 @@ from __future__ import annotations
 import hashlib
 import math
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fiscora.llm.common import written
-from fiscora.llm.progressive_jpeg import Image, decode, encode, rgb
+from fiscora.llm.progressive_jpeg import Image, decode, encode, planes, rgb, rgb_of
 
 #: Bytes that are encoded or decoded together (a longer text alone).
 BUFFER = 2 << 20
@@ -85,12 +86,21 @@ def encode_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return rows.mapInArrow(run, "doc_id long, media binary")
 
 
-def decode_media(media: DataFrame, tensors: bool = True) -> DataFrame:
-    """(doc_id, media digests, payload digests, feature and, if asked for, height, width and the RGB
-    tensor's bytes) of every row of media (doc_id, media)."""
-    fields = {"doc_id": pa.int64(), "n_bytes": pa.int64(), "payload_bytes": pa.int64(), "payload_sha256": pa.string(), "tail_crc32": pa.int64(), "media_bytes": pa.int64(), "media_sha256": pa.string(), "feature": pa.string()}
-    if tensors:
-        fields |= {"height": pa.int32(), "width": pa.int32(), "tensor": pa.binary()}
+DIGESTS = {"doc_id": pa.int64(), "n_bytes": pa.int64(), "payload_bytes": pa.int64(), "payload_sha256": pa.string(), "tail_crc32": pa.int64(), "media_bytes": pa.int64(), "media_sha256": pa.string()}
+PLANES = {"height": pa.int32(), "width": pa.int32(), "factors": pa.binary(), "planes": pa.binary()}
+KINDS = {pa.int64(): "long", pa.int32(): "int", pa.string(): "string", pa.binary(): "binary"}
+
+
+def _kinds(fields: dict[str, pa.DataType]) -> str:
+    return ", ".join(f"{n} {KINDS[t]}" for n, t in fields.items())
+
+
+def _shown(tensor: np.ndarray, whole: bool) -> dict:
+    return {"feature": feature(tensor)} | ({"height": tensor.shape[0], "width": tensor.shape[1], "tensor": tensor.tobytes()} if whole else {})
+
+
+def _decoded(media: DataFrame, fields: dict[str, pa.DataType], more: Callable[[Image], dict]) -> DataFrame:
+    """The digests of every row of media (doc_id, media) and what more() tells of its image."""
     arrow = pa.schema(fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -100,15 +110,44 @@ def decode_media(media: DataFrame, tensors: bool = True) -> DataFrame:
                 rows = []
                 for doc_id, file, image in zip(batch.column(0).slice(at, len(files)).to_pylist(), files, decode(files), strict=True):
                     n, payload = payload_of(image)
-                    tensor = rgb(image)
-                    rows.append({"doc_id": doc_id, "n_bytes": n, "payload_bytes": len(payload), "payload_sha256": hashlib.sha256(payload).hexdigest(), "tail_crc32": zlib.crc32(payload[-64:]), "media_bytes": len(file), "media_sha256": hashlib.sha256(file).hexdigest(), "feature": feature(tensor)})
-                    if tensors:
-                        rows[-1] |= {"height": tensor.shape[0], "width": tensor.shape[1], "tensor": tensor.tobytes()}
+                    rows.append({"doc_id": doc_id, "n_bytes": n, "payload_bytes": len(payload), "payload_sha256": hashlib.sha256(payload).hexdigest(), "tail_crc32": zlib.crc32(payload[-64:]), "media_bytes": len(file), "media_sha256": hashlib.sha256(file).hexdigest()} | more(image))
                 yield pa.RecordBatch.from_pylist(rows, schema=arrow)
                 at += len(files)
 
-    kinds = {pa.int64(): "long", pa.int32(): "int", pa.string(): "string", pa.binary(): "binary"}
-    return media.select("doc_id", "media").mapInArrow(run, ", ".join(f"{n} {kinds[t]}" for n, t in fields.items()))
+    return media.select("doc_id", "media").mapInArrow(run, _kinds(fields))
+
+
+def decode_media(media: DataFrame, tensors: bool = True) -> DataFrame:
+    """(doc_id, media digests, payload digests, feature and, if asked for, height, width and the RGB
+    tensor's bytes) of every row of media (doc_id, media)."""
+    return _decoded(media, _fields(tensors), lambda image: _shown(rgb(image), tensors))
+
+
+def decode_planes(media: DataFrame) -> DataFrame:
+    """As decode_media(), but with the planes that tensors_of() makes the tensors from: an image's samples
+    before chroma is upsampled, half of the tensor's bytes and all that it tells."""
+
+    def more(image: Image) -> dict:
+        return dict(zip(PLANES, (image.height, image.width, *planes(image)), strict=True))
+
+    return _decoded(media, DIGESTS | PLANES, more)
+
+
+def tensors_of(stored: DataFrame, tensors: bool = True) -> DataFrame:
+    """decode_media() from what decode_planes() gave: the same rows, byte by byte."""
+    arrow = pa.schema(_fields(tensors))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                rows = batch.slice(at, 256).to_pylist()
+                yield pa.RecordBatch.from_pylist([r | _shown(rgb_of(*(r[n] for n in PLANES)), tensors) for r in rows], schema=arrow)
+
+    return stored.select(*DIGESTS, *PLANES).mapInArrow(run, _kinds(_fields(tensors)))
+
+
+def _fields(tensors: bool) -> dict[str, pa.DataType]:
+    return DIGESTS | {"feature": pa.string()} | ({"height": pa.int32(), "width": pa.int32(), "tensor": pa.binary()} if tensors else {})
 
 
 def feature(tensor: np.ndarray) -> str:
@@ -119,6 +158,6 @@ def feature(tensor: np.ndarray) -> str:
 
 def op4_jpeg_media(docs: DataFrame) -> DataFrame:
     """Store docs as a table of files, read these back and store what they decode to as a table of
-    tensors; the digests are read from that one."""
+    planes; the tensors are made from that one, and the digests and features told of them."""
     media = written(encode_media(docs), "media")
-    return written(decode_media(media), "tensors").drop("tensor")
+    return tensors_of(written(decode_planes(media), "planes")).drop("tensor")

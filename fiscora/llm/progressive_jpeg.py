@@ -560,13 +560,28 @@ def pixels(image: Image, part: Component, coefs: np.ndarray) -> np.ndarray:
     return cells.transpose(0, 2, 1, 3).reshape(part.rows * 8, part.stride * 8)
 
 
+def planes(image: Image) -> tuple[bytes, bytes]:
+    """What rgb() is made of: factors of the parts (across and down of each), and their samples."""
+    return bytes(x for p in image.parts for x in (p.h, p.v)), b"".join(pixels(image, p, image.coefs).tobytes() for p in image.parts)
+
+
 def rgb(image: Image) -> np.ndarray:
     """The image's full-resolution tensor (height, width, 3), chroma upsampled by repetition."""
-    most_h, most_v = max(p.h for p in image.parts), max(p.v for p in image.parts)
-    planes = [np.repeat(np.repeat(pixels(image, p, image.coefs), most_v // p.v, 0), most_h // p.h, 1)[: image.height, : image.width].astype(np.int32) for p in image.parts]
-    if len(planes) == 1:
-        return np.repeat(planes[0][..., None], 3, 2).astype(np.uint8)
-    y, cb, cr = planes[0] << 16, planes[1] - 128, planes[2] - 128
+    return rgb_of(image.height, image.width, *planes(image))
+
+
+def rgb_of(height: int, width: int, factors: bytes, samples: bytes) -> np.ndarray:
+    """rgb() of an image with these planes()."""
+    most_h, most_v = max(factors[::2]), max(factors[1::2])
+    data, at, full = np.frombuffer(samples, np.uint8), 0, []
+    for h, v in zip(factors[::2], factors[1::2], strict=True):
+        down, across = -(-height // (8 * most_v)) * v * 8, -(-width // (8 * most_h)) * h * 8
+        part = data[at : at + down * across].reshape(down, across)
+        full.append(np.repeat(np.repeat(part, most_v // v, 0), most_h // h, 1)[:height, :width].astype(np.int32))
+        at += down * across
+    if len(full) == 1:
+        return np.repeat(full[0][..., None], 3, 2).astype(np.uint8)
+    y, cb, cr = full[0] << 16, full[1] - 128, full[2] - 128
     # The usual factors 1.402, 0.344136, 0.714136, 1.772, times 2^16.
     out = np.stack([y + 91881 * cr, y - 22554 * cb - 46802 * cr, y + 116130 * cb], -1)
     return np.clip((out + 32768) >> 16, 0, 255).astype(np.uint8)

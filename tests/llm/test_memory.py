@@ -39,3 +39,20 @@ def test_shingling_holds_small_arrays():
     most = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert held and most < 24 << 20
+
+
+def test_stored_planes_give_the_whole_tensors(spark):
+    """Half of the tensors' bytes are stored, and every one of them comes back."""
+    from fiscora.llm import op4_jpeg_media as op
+
+    rng = random.Random(4)
+    texts = [None, "", "a", "é世" * 700, *("".join(chr(rng.randrange(32, 127)) for _ in range(rng.randrange(4000))) for _ in range(20))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    media = op.encode_media(docs).cache()
+    key = lambda r: r["doc_id"]
+    whole = sorted(op.decode_media(media).collect(), key=key)
+    stored = sorted(op.decode_planes(media).collect(), key=key)
+    assert sorted(op.tensors_of(op.decode_planes(media)).collect(), key=key) == whole and len(whole) == len(texts)
+    assert all(2 * len(a["planes"]) == len(b["tensor"]) == 3 * b["height"] * b["width"] for a, b in zip(stored, whole, strict=True))
+    assert sorted(op.op4_jpeg_media(docs).collect(), key=key) == sorted(op.decode_media(media).drop("tensor").collect(), key=key)
+    media.unpersist()
