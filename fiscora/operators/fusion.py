@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fiscora.functions import taxid
-from fiscora.functions.cascade import bind, points
+from fiscora.functions.cascade import ahead, bind, points
 from fiscora.functions.text import upper_collapsed
 from fiscora.operators import header, issuer
 from fiscora.sources.scratch import materialised
@@ -17,16 +17,20 @@ FIELD_POINTS = (9, 8, 10, 7)
 
 def quality(text: Column, fields: dict[str, Column]) -> Column:
     """Length, words of a fiscal document, header fields, valid ids, and what speaks against."""
-    norm = upper_collapsed(text)
-    labelled = F.transform(F.regexp_extract_all(norm, F.lit(r"\bCUIT\b[^0-9]{0,12}(\d{2}\s*[-.]?\s*\d{8}\s*[-.]?\s*\d)(?!\d)"), F.lit(1)), lambda x: x)
-    wrong = F.size(F.filter(labelled, lambda x: ~taxid.valid(x)))
     every = None
     for c in fields.values():
         every = c.isNotNull() if every is None else every & c.isNotNull()
-    words = points([(norm.rlike(rf"\b{w}\b"), n) for w, n in (("FACTURA", 4), ("NOTA DE (?:CREDITO|DEBITO)", 4), ("CUIT", 3), ("CAE", 3), ("IVA", 2), ("TOTAL", 2), ("FECHA", 1), ("PUNTO DE VENTA", 2), ("RESPONSABLE INSCRIPTO", 1))])
     header = points([(fields[f].isNotNull(), n) for f, n in zip(FIELDS, FIELD_POINTS, strict=True)]) + F.when(every, 12).otherwise(0)
-    ids = F.least(F.size(taxid.valid_in(norm)), F.lit(3)) * 8
-    return F.when(F.trim(text) == "", F.lit(-10000)).otherwise(F.least(F.floor(F.length(text) / 120), F.lit(4)) + words + header + ids - 10 * wrong).cast("long")
+
+    def told(norm: Column) -> Column:
+        labelled = F.regexp_extract_all(norm, F.lit(ahead("C", r"\bCUIT\b[^0-9]{0,12}(\d{2}\s*[-.]?\s*\d{8}\s*[-.]?\s*\d)(?!\d)")), F.lit(1))
+        wrong = F.size(F.filter(labelled, lambda x: ~taxid.valid(x)))
+        words = points([(norm.rlike(ahead(w[0], rf"\b{w}\b")), n) for w, n in (("FACTURA", 4), ("NOTA DE (?:CREDITO|DEBITO)", 4), ("CUIT", 3), ("CAE", 3), ("IVA", 2), ("TOTAL", 2), ("FECHA", 1), ("PUNTO DE VENTA", 2), ("RESPONSABLE INSCRIPTO", 1))])
+        return words + F.least(F.size(taxid.valid_in(norm)), F.lit(3)) * 8 - 10 * wrong
+
+    # The text is normalised once, not for each word.
+    shown = bind(upper_collapsed(text), told)
+    return F.when(F.trim(text) == "", F.lit(-10000)).otherwise(F.least(F.floor(F.length(text) / 120), F.lit(4)) + header + shown).cast("long")
 
 
 def best_reading(passes: DataFrame, key: str = "doc_key") -> DataFrame:
